@@ -64,11 +64,17 @@ def query_terms(query) -> Column:
 
 
 def matches(haystack, query) -> Column:
-    """Every query word, or one of its synonyms, occurs in the search text."""
-    hay = col(haystack)
-    return F.forall(
-        query_terms(query),
-        lambda t: F.contains(hay, t) | F.exists(aliases(t), lambda a: F.contains(hay, a)),
+    """Every query word, or one of its synonyms, occurs in the search text.
+
+    The search text is bound once per row: inside the inner functions it would be
+    built again for every word and synonym.
+    """
+    return F.exists(
+        F.array(col(haystack)),
+        lambda hay: F.forall(
+            query_terms(query),
+            lambda t: F.contains(hay, t) | F.exists(aliases(t), lambda a: F.contains(hay, a)),
+        ),
     )
 
 
