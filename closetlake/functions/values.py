@@ -67,3 +67,8 @@ def cost_per_wear(price, wears) -> Column:
 def points(earned, score_total) -> Column:
     """Quest points: earned points, else the score, else 0 (0 falls through)."""
     return F.coalesce(first_number(earned, score_total), F.lit(0))
+
+
+def exact_sum(c) -> Column:
+    """Sum of doubles added as decimals: the same whatever the order of the rows."""
+    return F.sum(col(c).cast("decimal(24,6)")).cast("double")
