@@ -173,6 +173,21 @@ VIEWS["v_outfit_history"] = """
 SELECT log_id AS id, user_id, feature, type, ts AS created_at FROM {v_api_logs} WHERE type = 'view'
 """
 
+# Users with the account fields that the listings show.
+VIEWS["v_accounts"] = """
+SELECT u.user_id, CASE WHEN u.user_id % 10 = 0 THEN '' ELSE u.full_name END AS full_name,
+       CASE WHEN u.user_id % 20 <> 0 THEN 'user ' || CAST(u.user_id AS STRING) END AS display_name,
+       CASE WHEN u.user_id % 9 <> 0 THEN lower(c.c_mktsegment) || CAST(u.user_id AS STRING) || '@example.com' END AS email,
+       CASE u.user_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender,
+       CASE WHEN u.user_id % 4 <> 0 THEN u.city END AS city,
+       CASE WHEN u.user_id % 5 = 1 THEN n.n_name END AS profession,
+       CASE WHEN u.user_id % 6 = 0 THEN c.c_nationkey + 150 END AS height,
+       u.plan, CASE WHEN u.user_id % 8 = 0 THEN 'MONTH-' || CAST(u.user_id AS STRING) END AS last_coupon,
+       CASE u.user_id % 3 WHEN 0 THEN TIMESTAMP '2024-06-01 00:00:00' WHEN 1 THEN TIMESTAMP '2023-06-01 00:00:00' END AS premium_until,
+       u.login_blocked, u.user_id % 50 = 1 AS account_blocked, u.ai_daily_limit, u.created_at
+FROM {v_users} u JOIN {customer} c ON c.c_custkey = u.user_id LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey
+"""
+
 # Requests to plan a look: some repeat a plan that exists, some repeat each other.
 VIEWS["v_plan_requests"] = """
 SELECT user_id, look_id, CAST(created_at AS DATE) + CAST(look_id % 2 AS INT) AS wear_date FROM {v_looks}
