@@ -53,9 +53,9 @@ def flag_first(df: DataFrame, key: str, order: list[str], flag: str) -> DataFram
     The first row is aggregated and joined back rather than found by a window, so
     a key with very many rows is split by the skew join instead of sorted as one.
     """
-    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first_row"))
     joined = df.join(first, key, "left")
-    return joined.withColumn(flag, F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))).drop("_first")
+    return joined.withColumn(flag, F.coalesce(F.struct(*order) == F.col("_first_row"), F.lit(False))).drop("_first_row")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
