@@ -84,8 +84,11 @@ def with_taxonomy(garments: DataFrame) -> DataFrame:
     """Add ``norm_category`` and ``slot``; columns the table lacks count as null.
 
     The two are added one after the other so that the category patterns run once
-    per row and the slot only reads the result.
+    per row and the slot only reads the result. A table that was stored with them
+    is returned as it is.
     """
+    if {"norm_category", "slot"} <= set(garments.columns):
+        return garments
 
     def field(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in garments.columns else F.lit(None).cast(kind)

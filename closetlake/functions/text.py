@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from closetlake.functions.values import col, text
 
 # The white space a browser strips.
-_SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_SPACE = (
+    "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def strip(c) -> Column:
     """Remove leading and trailing white space of every kind, not only blanks."""
-    return F.regexp_replace(col(c), rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(_SPACE))
 
 
 def search_key(c) -> Column:
@@ -26,7 +29,7 @@ def search_key(c) -> Column:
 
 def clean(c, limit: int = 160) -> Column:
     """Text without angle brackets, stripped, cut at ``limit``; null gives ''."""
-    return F.substring(strip(F.regexp_replace(text(c), "[<>]", "")), 1, limit)
+    return F.substring(strip(F.translate(text(c), "<>", "")), 1, limit)
 
 
 def clean_list(c, count: int, limit: int) -> Column:

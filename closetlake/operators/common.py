@@ -38,6 +38,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], fields: l
     return best.select(*keys, *[F.col(f"_best.row.{f}").alias(f) for f in fields])
 
 
+def exploded(df: DataFrame, keep: list[str], array, pos: str, value: str) -> DataFrame:
+    """One row per list entry with its position.
+
+    An inner explode would make Spark also filter on the list being non-empty,
+    below the projection, and so compute a costly list (parsed JSON, built
+    combinations) a second time; the outer form with a filter above does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def left_all(base: DataFrame, parts: list[DataFrame], key: str = "user_id") -> DataFrame:
     """Left join of per-key results that each hold a key at most once."""
     return reduce(lambda acc, part: acc.join(part, key, "left"), parts, base)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from closetlake.functions.text import clean, clean_list, strip_code_fences
 from closetlake.functions.values import first_text, is_true, whitelisted
-from closetlake.operators.common import top_k
+from closetlake.operators.common import exploded, top_k
 from closetlake.operators.garments import purchase_usable
 from closetlake.schemas import conform
 
@@ -106,7 +106,7 @@ def _owned(df: DataFrame, items: DataFrame) -> DataFrame:
 
 def grounded_matches(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """Up to six matches per result: owned ids with a clamped score of 65 or more."""
-    rows = parsed.select("user_id", "result_id", F.posexplode("r.similarityMatches").alias("pos", "m")).select(
+    rows = exploded(parsed, ["user_id", "result_id"], "r.similarityMatches", "pos", "m").select(
         "user_id", "result_id", "pos", clean("m.wardrobeItemId").alias("item_id"), _score(F.col("m.score")).alias("score"),
         clean("m.reason", 180).alias("reason"),
     ).filter(F.col("score") >= MATCH_THRESHOLD)
@@ -115,16 +115,16 @@ def grounded_matches(parsed: DataFrame, items: DataFrame) -> DataFrame:
 
 def grounded_examples(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """Up to twelve examples per result with at least two owned pieces, each once."""
-    pieces = parsed.select("user_id", "result_id", F.posexplode("r.outfitExamples").alias("example", "x")).select(
-        "user_id", "result_id", "example", F.posexplode("x.itemIds").alias("pos", "item_id")
-    )
+    examples = exploded(parsed, ["user_id", "result_id"], "r.outfitExamples", "example", "x")
+    pieces = exploded(examples, ["user_id", "result_id", "example"], "x.itemIds", "pos", "item_id")
     once = pieces.groupBy("user_id", "result_id", "example", "item_id").agg(F.min("pos").alias("pos"))
     owned = _owned(once, items)
-    whole = owned.groupBy("user_id", "result_id", "example").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+    # Back to one row per example: no more entries than its list had in its document.
+    whole = owned.groupBy("user_id", "result_id", "example").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "item_id"))).alias("pieces")
+    ).filter(F.size("pieces") >= 2)
     kept = top_k(whole, ["user_id", "result_id"], [F.col("example")], EXAMPLE_LIMIT, "example_no")
-    return owned.join(kept, ["user_id", "result_id", "example"]).select(
-        "user_id", "result_id", "example_no", "pos", "item_id"
-    )
+    return kept.select("user_id", "result_id", "example_no", F.inline("pieces"))
 
 
 def sanitized_results(parsed: DataFrame, examples: DataFrame) -> DataFrame:

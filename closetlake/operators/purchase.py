@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from closetlake.functions.taxonomy import BASE_SLOTS, SLOTS, base_kind, with_taxonomy
 from closetlake.functions.text import search_key
 from closetlake.functions.values import first_number
-from closetlake.operators.common import newest_first, top_k
+from closetlake.operators.common import exploded, newest_first, top_k
 from closetlake.operators.garments import purchase_usable
 
 # Fixed values.
@@ -147,17 +147,16 @@ def combinations(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Combinations of owned pieces around each candidate, one row per piece."""
     wanted = with_kind(candidates).select("user_id", "candidate_id", "kind")
     lists = combination_lists(wanted, items)
-    one = wanted.join(lists, ["user_id", "kind"]).select(
-        "user_id", "candidate_id", F.posexplode("combinations").alias("combination_no", "ids")
-    )
-    return one.select(
-        "user_id", "candidate_id", "combination_no", F.posexplode("ids").alias("pos", "item_id")
+    one = exploded(
+        wanted.join(lists, ["user_id", "kind"]), ["user_id", "candidate_id"], "combinations", "combination_no", "ids"
     )
+    return exploded(one, ["user_id", "candidate_id", "combination_no"], "ids", "pos", "item_id")
 
 
 def purchase_check(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Counts, expected wears, cost per wear and verdict per candidate."""
-    wanted = with_kind(candidates).select("user_id", "candidate_id", "price", "kind")
+    candidates, items = with_kind(candidates), with_taxonomy(items)
+    wanted = candidates.select("user_id", "candidate_id", "price", "kind")
     similar = similar_garments(candidates, items).groupBy("user_id", "candidate_id").agg(
         F.count(F.lit(1)).alias("similar")
     )
