@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.taxonomy import garment_category
-from closetlake.functions.text import search_key, strip
+from closetlake.functions.text import search_keys
 from closetlake.functions.values import col
 
 # A term stands for every word of the first group that holds it.
@@ -37,7 +40,9 @@ def _synonym_map() -> Column:
 
 def aliases(term) -> Column:
     """The synonym group of a term, or just the term."""
-    return F.coalesce(F.try_element_at(_synonym_map(), col(term)), F.array(col(term)))
+    known = sorted({word for group in SYNONYM_GROUPS for word in group})
+    # The set test is hashed and most terms fail it; only the rest reach the map.
+    return F.when(col(term).isin(known), F.try_element_at(_synonym_map(), col(term))).otherwise(F.array(col(term)))
 
 
 def search_text(title, category, sub_category, primary_color, secondary_colors, pattern, tags, brand) -> Column:
@@ -51,35 +56,40 @@ def search_text(title, category, sub_category, primary_color, secondary_colors,
         F.coalesce(col(tags), empty),
         F.array(col(brand)),
     )
-    keys = F.transform(F.filter(values, lambda x: x != ""), search_key)
-    expanded = F.flatten(F.transform(keys, lambda k: F.concat(F.array(k), aliases(k))))
+    expanded = F.flatten(F.transform(search_keys(values), lambda k: F.concat(F.array(k), aliases(k))))
     return F.array_join(F.array_distinct(expanded), " ")
 
 
-def query_terms(query) -> Column:
-    """The normalised non-empty words of a search query (text or column)."""
-    text_col = F.lit(query) if isinstance(query, str) else query
-    words = F.transform(F.split(strip(text_col), r"\s+"), search_key)
-    return F.filter(words, lambda t: t != "")
+def query_words(query: str) -> list[list[str]]:
+    """For each word of a query, the texts that count as finding it."""
+    words = [re.sub("[^a-z0-9]+", "", w.lower().replace("&", " and ")) for w in query.split()]
+    first = {w: group for group in reversed(SYNONYM_GROUPS) for w in group}
+    return [[w, *[a for a in first.get(w, []) if a != w]] for w in words if w]
 
 
-def matches(haystack, query) -> Column:
+def matches(haystack, query: str) -> Column:
     """Every query word, or one of its synonyms, occurs in the search text.
 
-    The search text is bound once per row: inside the inner functions it would be
-    built again for every word and synonym.
+    The search text is bound once per row: a filter is moved below the projection
+    that builds the text, where each mention would build it again.
     """
-    return F.exists(
-        F.array(col(haystack)),
-        lambda hay: F.forall(
-            query_terms(query),
-            lambda t: F.contains(hay, t) | F.exists(aliases(t), lambda a: F.contains(hay, a)),
-        ),
-    )
+
+    def test(hay: Column) -> Column:
+        found = F.lit(True)
+        for texts in query_words(query):
+            found = found & reduce(Column.__or__, [F.contains(hay, F.lit(x)) for x in texts])
+        return found
+
+    return F.exists(F.array(col(haystack)), test)
 
 
 def with_search_text(garments: DataFrame) -> DataFrame:
-    """Add ``search_text``; columns the table lacks count as null."""
+    """Add ``search_text``; columns the table lacks count as null.
+
+    A table that was stored with it is returned as it is.
+    """
+    if "search_text" in garments.columns:
+        return garments
 
     def field(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in garments.columns else F.lit(None).cast(kind)

@@ -126,7 +126,11 @@ def looks_with_neglected(look_items: DataFrame, neglected_rows: DataFrame) -> Da
 
 def suggested_look(looks: DataFrame, look_items: DataFrame, items: DataFrame, as_of) -> DataFrame:
     """The newest look with a neglected garment, else the newest look."""
-    hits = looks_with_neglected(look_items, neglected_items(items, as_of)).withColumn("hit", F.lit(True))
+    return _suggested(looks, look_items, neglected_items(items, as_of))
+
+
+def _suggested(looks: DataFrame, look_items: DataFrame, idle: DataFrame) -> DataFrame:
+    hits = looks_with_neglected(look_items, idle).withColumn("hit", F.lit(True))
     flagged = looks.select("user_id", "look_id", "created_at").join(hits, ["user_id", "look_id"], "left")
     flagged = flagged.withColumn("has_neglected", F.coalesce("hit", F.lit(False)))
     first = first_per_key(
@@ -137,21 +141,42 @@ def suggested_look(looks: DataFrame, look_items: DataFrame, items: DataFrame, as
     return first.select("user_id", F.col("look_id").alias("suggested_look_id"), "has_neglected")
 
 
+def _closet_facts(items: DataFrame) -> DataFrame:
+    """Eligible garments and best value of each user in one pass over the wardrobe."""
+    cost = cost_per_wear("purchase_price", "times_worn")
+    packed = F.struct(
+        cost.alias("cost"), newest_first("created_at").alias("newest"), F.col("item_id"), F.col("title")
+    )
+    facts = items.filter(report_eligible()).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("total_items"), F.min(F.when(cost.isNotNull(), packed)).alias("b")
+    )
+    return facts.select(
+        "user_id", "total_items", F.col("b.item_id").alias("best_value_id"), F.col("b.title").alias("best_value"),
+        F.round("b.cost").cast("bigint").alias("best_value_cost"),
+    )
+
+
 def weekly_report(users, items, wear, wear_items, looks, look_items, as_of) -> DataFrame:
     """All parts of the report, one row per user."""
     worn = weekly_worn_items(wear, wear_items, as_of)
-    clean = neglected_items(items, as_of).groupBy("user_id").agg(F.count(F.lit(1)).alias("neglected"))
+    days = wear.filter(worn_in_week(as_of)).groupBy("user_id").agg(
+        F.count_distinct("wear_date").alias("outfit_days")
+    )
+    worn_count = worn.groupBy("user_id").agg(F.count_distinct("item_id").alias("worn_items"))
+    idle = neglected_items(items, as_of)
+    clean = idle.groupBy("user_id").agg(F.count(F.lit(1)).alias("neglected"))
     # At most four colors a user reach this list.
     colors = useful_colors(items, worn).groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "primary_color"))).alias("c")
     ).select("user_id", F.array_join(F.transform("c", lambda x: x["primary_color"]), ", ").alias("colors"))
     joined = left_all(
-        weekly_usage(users, items, wear, wear_items, as_of),
-        [most_repeated(items, worn), best_value(items), clean, colors,
-         suggested_look(looks, look_items, items, as_of)],
+        users.select("user_id"),
+        [_closet_facts(items), days, worn_count, most_repeated(items, worn), clean, colors,
+         _suggested(looks, look_items, idle)],
     )
     today = as_date(as_of)
     return (
-        zero_filled(joined, ["neglected"])
+        zero_filled(joined, ["total_items", "outfit_days", "worn_items", "neglected"])
+        .withColumn("usage_percent", rounded_percent("worn_items", "total_items"))
         .withColumn("since", F.date_sub(today, WINDOW_DAYS - 1)).withColumn("until", today)
     )

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from closetlake.functions.search import SYNONYM_GROUPS, with_search_text
+from closetlake.functions.search import SYNONYM_GROUPS, matches, with_search_text
 from closetlake.functions.taxonomy import CATEGORY_PATTERNS, SLOT_PATTERNS, with_taxonomy
 from closetlake.operators import garments, purchase
+from closetlake.operators.common import exploded
 from closetlake.operators.report import report_eligible
 from verification.registry import query
 
@@ -81,12 +82,15 @@ SELECT 'all' AS shown, user_id, item_id FROM found WHERE {has_sql(['shoes'])}
 UNION ALL SELECT 'favorite', user_id, item_id FROM found WHERE favorite AND {has_sql(['tee', 'red'])}
 UNION ALL SELECT 'clean', user_id, item_id FROM found WHERE laundry_status = 'Clean' AND {has_sql(['coats', 'brand2'])}""")
 def _(t):
-    wanted = [("all", "shoes"), ("favorite", " Tee  RED"), ("clean", "coats Brand#2")]
-    frames = [
-        garments.search_garments(t.v_garments, text, view).select(F.lit(view).alias("shown"), "user_id", "item_id")
-        for view, text in wanted
+    clean = F.col("laundry_status") == "Clean"
+    tests = [
+        F.when(matches("search_text", "shoes"), "all"),
+        F.when(F.col("favorite") & matches("search_text", " Tee  RED"), "favorite"),
+        F.when(clean & matches("search_text", "coats Brand#2"), "clean"),
     ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    found = with_search_text(t.v_garments)
+    rows = exploded(found, ["user_id", "item_id"], F.array_compact(F.array(*tests)), "_n", "shown")
+    return rows.drop("_n")
 
 
 @query("lookbook_garments", "B2", """
