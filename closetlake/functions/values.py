@@ -72,3 +72,9 @@ def points(earned, score_total) -> Column:
 def exact_sum(c) -> Column:
     """Sum of doubles added as decimals: the same whatever the order of the rows."""
     return F.sum(col(c).cast("decimal(24,6)")).cast("double")
+
+
+def number(c) -> Column:
+    """Number written as plain decimal text, surrounding white space allowed, else null."""
+    plain = col(c).rlike(r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z")
+    return F.when(plain, col(c).try_cast("double"))

@@ -42,9 +42,12 @@ def recent_garments(items: DataFrame, count: int = 4) -> DataFrame:
 
 
 def cost_per_wear_list(items: DataFrame) -> DataFrame:
-    """Priced garments, cheapest per wear first; never-worn ones sort by full price."""
+    """Priced garments with what the listing sorts by: ``sort_cost``, then newest.
+
+    Never-worn ones sort by their full price and show no cost.
+    """
     return items.filter(F.col("purchase_price") > 0).select(
-        "user_id", "item_id", "title", "purchase_price",
+        "user_id", "item_id", "title", "purchase_price", "created_at",
         F.coalesce("times_worn", F.lit(0)).alias("times_worn"),
         (F.col("purchase_price") / F.greatest(F.coalesce("times_worn", F.lit(0)), F.lit(1))).alias("sort_cost"),
         cost_per_wear("purchase_price", "times_worn").alias("cost_per_wear"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.text import clean, clean_list, strip_code_fences
-from closetlake.functions.values import first_text, is_true, whitelisted
+from closetlake.functions.values import first_text, is_true, number, whitelisted
 from closetlake.operators.common import exploded, top_k
 from closetlake.operators.garments import purchase_usable
 from closetlake.schemas import conform
@@ -95,8 +95,7 @@ def parsed_results(results: DataFrame) -> DataFrame:
 
 
 def _score(c: Column) -> Column:
-    number = F.coalesce(c.try_cast("double"), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(number(c), F.lit(0.0))))
 
 
 def _owned(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,7 +104,10 @@ def _owned(df: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def grounded_matches(parsed: DataFrame, items: DataFrame) -> DataFrame:
-    """Up to six matches per result: owned ids with a clamped score of 65 or more."""
+    """Up to six matches per result: known ids with a clamped score of 65 or more.
+
+    ``items`` are the garments the model was shown.
+    """
     rows = exploded(parsed, ["user_id", "result_id"], "r.similarityMatches", "pos", "m").select(
         "user_id", "result_id", "pos", clean("m.wardrobeItemId").alias("item_id"), _score(F.col("m.score")).alias("score"),
         clean("m.reason", 180).alias("reason"),
@@ -114,7 +116,10 @@ def grounded_matches(parsed: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def grounded_examples(parsed: DataFrame, items: DataFrame) -> DataFrame:
-    """Up to twelve examples per result with at least two owned pieces, each once."""
+    """Up to twelve examples per result with at least two known pieces, each once.
+
+    ``items`` are the garments the model was shown.
+    """
     examples = exploded(parsed, ["user_id", "result_id"], "r.outfitExamples", "example", "x")
     pieces = exploded(examples, ["user_id", "result_id", "example"], "x.itemIds", "pos", "item_id")
     once = pieces.groupBy("user_id", "result_id", "example", "item_id").agg(F.min("pos").alias("pos"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.text import clean, coupon_code, strip
-from closetlake.functions.values import as_date, as_instant, first_text, is_true, whitelisted
+from closetlake.functions.values import as_date, as_instant, first_text, is_true, number, whitelisted
 from closetlake.operators.common import flag_first
 
 COUPON_PLANS = ["monthly", "yearly", "custom"]
@@ -166,7 +166,7 @@ def secured_users(users: DataFrame, updates: DataFrame) -> DataFrame:
     A blank limit clears the user's own limit; a bad one voids the change.
     """
     raw = strip(F.coalesce("raw_limit", F.lit("")))
-    limit = valid_limit(F.expr("try_cast(raw_limit AS double)"))
+    limit = valid_limit(number("raw_limit"))
     valid = updates.withColumn("ai_daily_limit", F.when(raw != "", limit)).filter(
         (raw == "") | F.col("ai_daily_limit").isNotNull()
     )

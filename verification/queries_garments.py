@@ -134,12 +134,14 @@ def _(t):
 
 
 @query("cost_per_wear_list", "F4,H26", """
-SELECT user_id, item_id, title, purchase_price, coalesce(times_worn, 0) AS times_worn,
+SELECT user_id, item_id, title, purchase_price, created_at, coalesce(times_worn, 0) AS times_worn,
        purchase_price / greatest(coalesce(times_worn, 0), 1) AS sort_cost,
        CASE WHEN times_worn > 0 THEN purchase_price / times_worn END AS cost_per_wear
 FROM {v_items} WHERE purchase_price > 0""")
 def _(t):
-    return garments.cost_per_wear_list(t.v_items).orderBy("user_id", "sort_cost", "item_id")
+    return garments.cost_per_wear_list(t.v_items).orderBy(
+        "user_id", "sort_cost", F.desc_nulls_last("created_at"), "item_id"
+    )
 
 
 @query("garment_detail_rows", "B17,H15", """

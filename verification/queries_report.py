@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from closetlake.functions.taxonomy import with_taxonomy
 from closetlake.operators import looks, report
+from verification.queries_garments import TAXONOMY
 from verification.registry import AS_OF, query
 
 D = "DATE '1998-06-30'"
@@ -190,7 +191,16 @@ def _(t):
     )
 
 
-@query("exclusive_look_picks", "H27", None)
+@query("exclusive_look_picks", "H27", f"""
+WITH {TAXONOMY},
+picks AS (SELECT l.user_id, l.look_id, l.pos, l.item_id, t.slot FROM {{v_look_items}} l
+  JOIN tax t ON l.user_id = t.user_id AND l.item_id = t.item_id),
+newest AS (SELECT user_id, look_id, max(pos) FILTER (slot = 'hero') AS hero,
+  max(pos) FILTER (slot IN ('top', 'bottom', 'layer')) AS parts FROM picks GROUP BY user_id, look_id),
+last AS (SELECT user_id, look_id, slot, max(pos) AS pos, arg_max(item_id, pos) AS item_id FROM picks GROUP BY user_id, look_id, slot)
+SELECT l.user_id, l.look_id, l.slot, l.item_id FROM last l JOIN newest n ON l.user_id = n.user_id AND l.look_id = n.look_id
+WHERE slot IN ('footwear', 'accessory') OR (slot = 'hero' AND n.hero > coalesce(n.parts, -1))
+  OR (slot IN ('top', 'bottom', 'layer') AND l.pos > coalesce(n.hero, -1))""")
 def _(t):
     slots = with_taxonomy(t.v_garments).select("user_id", "item_id", "slot")
     return looks.exclusive_picks(t.v_look_items.join(slots, ["user_id", "item_id"]))

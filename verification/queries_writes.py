@@ -8,6 +8,7 @@ from closetlake.functions.taxonomy import with_taxonomy
 from closetlake.functions.text import admin_flag, clean, clean_list, coverage_text, local_asset, pretty, strip, web_url
 from closetlake.functions.values import whitelisted
 from closetlake.operators import accounts, campaigns, grounding, looks, page_checks, platform, quests, writes
+from closetlake.operators.garments import purchase_usable
 from closetlake.schemas import schema
 from closetlake.sources.collections import read_collection
 from closetlake.sources.wire import decode_documents
@@ -335,8 +336,13 @@ def parsed(t):
     return grounding.parsed_results(t.sql(MODEL_ROWS).select("user_id", "result_id", raw.alias("raw")))
 
 
+def shown(t):
+    """The garments a purchase check shows to the model."""
+    return t.v_items.filter(purchase_usable())
+
+
 MATCHES = f"""res AS ({MODEL_ROWS}),
-own AS (SELECT user_id, item_id FROM {{v_items}}),
+own AS (SELECT user_id, item_id FROM {{v_items}} WHERE NOT coalesce(hidden_from_ai, false) AND coalesce(laundry_status, '') <> 'Laundry'),
 m AS (SELECT user_id, result_id, 0 AS pos, a AS item_id, CAST(least(result_id % 130, 100) AS DOUBLE) AS score, 'same' AS reason FROM res
   UNION ALL SELECT user_id, result_id, 1, b, 80.0, 'near' FROM res),
 good AS (SELECT m.* FROM m JOIN own USING (user_id, item_id) WHERE score >= 65 AND result_id % 11 <> 0)"""
@@ -351,7 +357,7 @@ def _(t):
 WITH {MATCHES} SELECT user_id, result_id, CAST(item_id AS VARCHAR) AS item_id, score, reason,
   row_number() OVER (PARTITION BY user_id, result_id ORDER BY pos) AS rank FROM good""")
 def _(t):
-    return grounding.grounded_matches(parsed(t), t.v_items)
+    return grounding.grounded_matches(parsed(t), shown(t))
 
 
 WHOLE = f"""{MATCHES},
@@ -366,7 +372,7 @@ UNION ALL SELECT user_id, result_id, 1, 1, CAST(b AS VARCHAR) FROM whole
 UNION ALL SELECT user_id, result_id, 2, 0, CAST(b AS VARCHAR) FROM whole
 UNION ALL SELECT user_id, result_id, 2, 2, CAST(a AS VARCHAR) FROM whole""")
 def _(t):
-    return grounding.grounded_examples(parsed(t), t.v_items)
+    return grounding.grounded_examples(parsed(t), shown(t))
 
 
 @query("sanitized_results", "C15", f"""
@@ -377,7 +383,7 @@ SELECT r.user_id, r.result_id, CASE WHEN r.result_id % 3 = 0 THEN 'strong_buy' E
 FROM res r LEFT JOIN whole w USING (user_id, result_id) WHERE r.result_id % 11 <> 0""")
 def _(t):
     p = parsed(t)
-    rows = grounding.sanitized_results(p, grounding.grounded_examples(p, t.v_items))
+    rows = grounding.sanitized_results(p, grounding.grounded_examples(p, shown(t)))
     return rows.withColumn("reasons", F.array_join("reasons", "|"))
 
 
@@ -482,9 +488,9 @@ def _(t):
 
 
 @query("pages_with_forbidden_wording", "K5", """
-SELECT page_id FROM {pages} WHERE regexp_matches(html, '(?i)(Cloudflare|Firestore|Firebase|API key|server function|custom claim|account UID|prompt hash|cookie)')""")
+SELECT page_id FROM {pages} WHERE regexp_matches(html, '(?i)(Cloudflare|Firestore|Firebase|API key|server function|custom claim|account UID|prompt hash|share)')""")
 def _(t):
-    return page_checks.forbidden_wording(t.pages, [*page_checks.FORBIDDEN, "cookie"])
+    return page_checks.forbidden_wording(t.pages, [*page_checks.FORBIDDEN, "share"])
 
 
 FAQ_PAGES = """

@@ -8,6 +8,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from closetlake.plans import settings
 from verification.views import TABLES, VIEWS, standalone_sql
 
 AS_OF = date(1998, 6, 30)
@@ -53,7 +54,7 @@ def query(name: str, covers: str, oracle: str | None = None):
         assert name not in QUERIES, name
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Tables(spark, sf_dir))
+            return build(Tables(settings.apply(spark), sf_dir))
 
         run.__doc__ = build.__doc__
         run.__name__ = name
