@@ -7,11 +7,15 @@ from pyspark.sql import SparkSession
 # Keys are owners, and one owner may hold a large part of all rows: adaptive
 # execution splits the partitions of such an owner in joins, also when that
 # costs one more shuffle. Group sizes before that are kept small by the plans.
+# Text expressions and JSON cost far more per byte than the default smallest
+# partition (1 MB) assumes, so a small shuffle may spread over more cores; large
+# shuffles never get near this bound.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
