@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from closetlake.llm import langid, mixing, sharding, tiling
+import corpus_pipeline
+from closetlake.llm import jaccard_join, langid, mixing, sharding, tiling
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_decontamination": tiling.op4_decontamination,
     "op9_sharding": sharding.op9_sharding,
+    "pipeline": corpus_pipeline.run,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
