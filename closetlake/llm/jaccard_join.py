@@ -43,6 +43,8 @@ SIZE, TIMES, OF = 3, 90, 100
 RARE = 16
 #: Above so many prefix tokens, frequent ones are indexed singly.
 MOST_COMBINED = 64
+#: Tokens of a set kept beside an index entry to see whether a pair is met elsewhere.
+EARLY = 6
 #: A side of a join is broadcast up to so many rows (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Sets remembered by a task to send equal ones once.
@@ -224,31 +226,50 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
         "node", "n", F.size(F.filter("found", lambda x: x["df"] <= RARE)).alias("n_rare"), F.col("found.token").alias("tokens")))
 
 
-def _index(sets: DataFrame, times: int, of: int) -> DataFrame:
-    """``key``, ``node``, ``n`` and ``able``, the number of tokens that a pair found by such keys only can share."""
+def _index(sets: DataFrame, times: int, of: int, early: int = 0) -> DataFrame:
+    """``key``, ``node``, ``n`` and ``able`` of each index entry, and ``early``.
+
+    A pair only needs to be met at the key of its first shared tokens. The tokens of
+    the set before these are unshared then, so ``able`` is the number of tokens that
+    the pair can share still. ``early`` lists the first (up to that many) of the tokens before: two sets
+    with a common one among them are met at another key.
+    """
     long = MOST_COMBINED * of // (of - times) if times < of else 1 << 62
 
     def send(batches):
         for batch in batches:
-            found = []
+            found, before = [], []
+
+            def add(keys, node, n, able, prefix, i, j):
+                """Keys made of the prefix tokens ``i`` and ``j`` (the same for single ones)."""
+                found.append((keys, (node, n), able))
+                if early:
+                    first = prefix[:early + 2].tolist()
+                    before.extend([t for k, t in enumerate(first[:q]) if k != p][:early] for p, q in zip(i.tolist(), j.tolist(), strict=True))
+
             for node, n, n_rare, tokens in zip(batch["node"], batch["n"], batch["n_rare"], batch["tokens"], strict=True):
                 tokens = np.asarray(tokens, dtype=np.int64)
                 least = need(n, times, of)
                 room = n - least + 2 - (n - len(tokens))  # prefix tokens besides those only here
-                found.append((tokens[: min(room, n_rare)], (node, n, len(tokens))))
-                often, able = tokens[n_rare: max(room, n_rare)], len(tokens) - n_rare
-                if able < least:
+                prefix = tokens[:room]
+                at = np.arange(min(len(prefix), n_rare))
+                add(prefix[at], node, n, len(tokens) - at, prefix, at, at)
+                often = np.arange(n_rare, len(prefix))
+                if len(tokens) - n_rare < least:
                     continue
                 if n <= long and len(often) > 1:
-                    i, j = np.triu_indices(len(often), 1)
-                    both = mix(mix(often.view(np.uint64)[i] ^ np.uint64(0x632BE59BD9B4E019)) + often.view(np.uint64)[j])
-                    found.append((both.view(np.int64), (node, n, able)))
+                    i, j = (often[x] for x in np.triu_indices(len(often), 1))
+                    both = mix(mix(prefix.view(np.uint64)[i] ^ np.uint64(0x632BE59BD9B4E019)) + prefix.view(np.uint64)[j])
+                    add(both.view(np.int64), node, n, len(tokens) - j + 1, prefix, i, j)
                 if n * of >= long * times:
-                    found.append((often, (node, n, able)))
-            yield _rows(found, ["node", "n", "able"]).rename(columns={"token": "key"})
+                    add(prefix[often], node, n, len(tokens) - often, prefix, often, often)
+            rows = _rows([(k, x) for k, x, _ in found], ["node", "n"]).rename(columns={"token": "key"})
+            rows["able"] = np.concatenate([x for _, _, x in found]) if found else np.zeros(0, dtype=np.int64)
+            if early:
+                rows["early"] = pd.Series(before, dtype=object)
+            yield rows
 
-    with np.errstate(over="ignore"):
-        return sets.mapInPandas(send, "key long, node long, n int, able int")
+    return sets.mapInPandas(send, "key long, node long, n int, able int" + ", early array<long>" * (early > 0))
 
 
 def _possible(a_n, b_n, a_able, b_able, times: int, of: int):
@@ -296,12 +317,13 @@ def links(docs: DataFrame, size: int = SIZE, times: int = TIMES, of: int = OF) -
     near = stored(_verified(stars, sets, times, of))
     labels = components(near)
     # Sets that share a key and are not connected yet.
-    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = _index(sets, times, of, EARLY).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     apart = stored(labelled.join(mixed, "key", "left_semi"))
     a, b = apart.alias("a"), apart.alias("b")
     able = _possible(F.col("a.n"), F.col("b.n"), F.col("a.able"), F.col("b.able"), times, of)
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able)
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able
+                  & ~F.arrays_overlap("a.early", "b.early"))
     rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     more = stored(_verified(rest, sets, times, of))
     if more.isEmpty():
