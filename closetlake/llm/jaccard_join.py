@@ -45,6 +45,8 @@ RARE = 16
 MOST_COMBINED = 64
 #: Tokens of a set kept beside an index entry to see whether a pair is met elsewhere.
 EARLY = 6
+#: Rows a task builds before it passes them on.
+CHUNK = 200_000
 #: A side of a join is broadcast up to so many rows (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Sets remembered by a task to send equal ones once.
@@ -57,7 +59,7 @@ def need(n: int, times: int, of: int) -> int:
 
 
 def _sets(texts: list, size: int) -> Iterator[np.ndarray]:
-    for part in slices(texts):
+    for part in slices(texts, 1_000_000):
         yield from shingle_hashes(*word_hashes(texts[part.start: part.stop]), size)
 
 
@@ -75,13 +77,25 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(name, "doc_id long, n_shingles long, node long")
 
 
-def _rows(found: list[tuple[np.ndarray, tuple[int, ...]]], names: list[str]) -> pd.DataFrame:
-    """One row per token, the numbers of its set beside it."""
-    counts = [len(t) for t, _ in found]
-    columns = {"token": np.concatenate([t for t, _ in found]) if found else np.zeros(0, dtype=np.int64)}
-    for i, name in enumerate(names):
-        columns[name] = np.repeat(np.array([x[i] for _, x in found], dtype=np.int64), counts)
-    return pd.DataFrame(columns)
+def _chunks(found: Iterator[tuple[np.ndarray, tuple[int, ...]]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """One row per token of the given sets, the numbers of its set beside it, some sets at a time."""
+    held, n = [], 0
+
+    def rows():
+        counts = [len(t) for t, _ in held]
+        columns = {"token": np.concatenate([t for t, _ in held])}
+        for i, name in enumerate(names):
+            columns[name] = np.repeat(np.array([x[i] for _, x in held], dtype=np.int64), counts)
+        return pd.DataFrame(columns)
+
+    for tokens, numbers in found:
+        held.append((tokens, numbers))
+        n += len(tokens)
+        if n >= CHUNK:
+            yield rows()
+            held, n = [], 0
+    if held:
+        yield rows()
 
 
 class _Seen:
@@ -102,10 +116,9 @@ class _Seen:
 def _short_lists(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
     """``token``, ``node``, ``least``: the tokens with the smallest hashes of each set, and how many must be shared."""
 
-    def send(batches):
+    def lists(batches):
         seen = _Seen()
         for batch in batches:
-            found = []
             for s in _sets(list(batch["text"]), size):
                 n = len(s)
                 # Different sets of fewer tokens cannot be similar enough.
@@ -113,8 +126,10 @@ def _short_lists(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
                     continue
                 spare = n - need(n, times, of)
                 extra = max(1, min(n - spare, spare // 2))
-                found.append((s[: spare + extra], (node, extra)))
-            yield _rows(found, ["node", "least"])
+                yield s[: spare + extra], (node, extra)
+
+    def send(batches):
+        yield from _chunks(lists(batches), ["node", "least"])
 
     return docs.select("text").mapInPandas(send, "token long, node long, least int")
 
@@ -207,13 +222,15 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
         for batch in batches:
             yield batch.assign(node=[set_hash(s) for s in _sets(list(batch["text"]), size)])
 
-    def send(batches):
+    def new_sets(batches):
         seen = _Seen()
         for batch in batches:
-            new = [not seen(node) for node in batch["node"]]
-            kept = batch[np.array(new, dtype=bool)]
-            sets = list(_sets(list(kept["text"]), size))
-            yield _rows([(s, (node, len(s))) for s, node in zip(sets, kept["node"], strict=True)], ["node", "n"])
+            kept = batch[[not seen(node) for node in batch["node"]]]
+            for s, node in zip(_sets(list(kept["text"]), size), kept["node"], strict=True):
+                yield s, (node, len(s))
+
+    def send(batches):
+        yield from _chunks(new_sets(batches), ["node", "n"])
 
     named = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(name, "text string, node long")
     kept = named.join(_sized_broadcast(some), "node")
@@ -227,49 +244,63 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
 
 
 def _index(sets: DataFrame, times: int, of: int, early: int = 0) -> DataFrame:
-    """``key``, ``node``, ``n`` and ``able`` of each index entry, and ``early``.
+    """``key``, ``node``, ``n`` and ``able`` of each index entry.
 
     A pair only needs to be met at the key of its first shared tokens. The tokens of
     the set before these are unshared then, so ``able`` is the number of tokens that
-    the pair can share still. ``early`` lists the first (up to that many) of the tokens before: two sets
-    with a common one among them are met at another key.
+    the pair can share still. ``early0`` and so on are the
+    first (``early``) tokens of the set that stand before, 0 for none: two sets with a
+    common one are met at another key.
     """
     long = MOST_COMBINED * of // (of - times) if times < of else 1 << 62
 
+    def entries(node, n, n_rare, tokens):
+        """Frames of the entries of one set: rare tokens, combinations of frequent ones, or these singly."""
+        tokens = np.asarray(tokens, dtype=np.int64)
+        least = need(n, times, of)
+        prefix = tokens[: n - least + 2 - (n - len(tokens))]  # tokens only here come before these
+        first = np.zeros(early, dtype=np.int64)
+        first[: min(early, len(prefix))] = prefix[:early]
+
+        def rows(keys, i, j, able):
+            """Keys made of the prefix tokens ``i`` and ``j`` (the same for single ones)."""
+            at = np.arange(early)
+            before = np.where((at < j[:, None]) & (at != i[:, None]), first, 0)
+            return np.column_stack([keys, np.full(len(keys), node), np.full(len(keys), n), able, before])
+
+        rare, often = np.arange(min(len(prefix), n_rare)), np.arange(n_rare, len(prefix))
+        yield rows(prefix[rare], rare, rare, len(tokens) - rare)
+        if len(tokens) - n_rare < least:
+            return
+        if n <= long and len(often) > 1:
+            i, j = (often[x] for x in np.triu_indices(len(often), 1))
+            both = mix(mix(prefix.view(np.uint64)[i] ^ np.uint64(0x632BE59BD9B4E019)) + prefix.view(np.uint64)[j])
+            yield rows(both.view(np.int64), i, j, len(tokens) - j + 1)
+        if n * of >= long * times:
+            yield rows(prefix[often], often, often, len(tokens) - often)
+
+    columns = ["key", "node", "n", "able", *[f"early{k}" for k in range(early)]]
+
     def send(batches):
+        held, size = [], 0
         for batch in batches:
-            found, before = [], []
-
-            def add(keys, node, n, able, prefix, i, j):
-                """Keys made of the prefix tokens ``i`` and ``j`` (the same for single ones)."""
-                found.append((keys, (node, n), able))
-                if early:
-                    first = prefix[:early + 2].tolist()
-                    before.extend([t for k, t in enumerate(first[:q]) if k != p][:early] for p, q in zip(i.tolist(), j.tolist(), strict=True))
-
-            for node, n, n_rare, tokens in zip(batch["node"], batch["n"], batch["n_rare"], batch["tokens"], strict=True):
-                tokens = np.asarray(tokens, dtype=np.int64)
-                least = need(n, times, of)
-                room = n - least + 2 - (n - len(tokens))  # prefix tokens besides those only here
-                prefix = tokens[:room]
-                at = np.arange(min(len(prefix), n_rare))
-                add(prefix[at], node, n, len(tokens) - at, prefix, at, at)
-                often = np.arange(n_rare, len(prefix))
-                if len(tokens) - n_rare < least:
-                    continue
-                if n <= long and len(often) > 1:
-                    i, j = (often[x] for x in np.triu_indices(len(often), 1))
-                    both = mix(mix(prefix.view(np.uint64)[i] ^ np.uint64(0x632BE59BD9B4E019)) + prefix.view(np.uint64)[j])
-                    add(both.view(np.int64), node, n, len(tokens) - j + 1, prefix, i, j)
-                if n * of >= long * times:
-                    add(prefix[often], node, n, len(tokens) - often, prefix, often, often)
-            rows = _rows([(k, x) for k, x, _ in found], ["node", "n"]).rename(columns={"token": "key"})
-            rows["able"] = np.concatenate([x for _, _, x in found]) if found else np.zeros(0, dtype=np.int64)
-            if early:
-                rows["early"] = pd.Series(before, dtype=object)
-            yield rows
+            for row in zip(batch["node"], batch["n"], batch["n_rare"], batch["tokens"], strict=True):
+                for rows in entries(*row):
+                    held.append(rows)
+                    size += len(rows)
+                if size >= CHUNK:
+                    yield pd.DataFrame(np.concatenate(held), columns=columns)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(np.concatenate(held), columns=columns)
+
+    return sets.mapInPandas(send, "key long, node long, n int, able int" + "".join(f", early{k} long" for k in range(early)))
+
 
-    return sets.mapInPandas(send, "key long, node long, n int, able int" + ", early array<long>" * (early > 0))
+def _met_before(a: str, b: str):
+    """Whether two entries name a common early token (0 stands for none)."""
+    tokens = [F.array_remove(F.array(*[F.col(f"{x}.early{k}") for k in range(EARLY)]), 0) for x in (a, b)]
+    return F.arrays_overlap(*tokens)
 
 
 def _possible(a_n, b_n, a_able, b_able, times: int, of: int):
@@ -323,7 +354,7 @@ def links(docs: DataFrame, size: int = SIZE, times: int = TIMES, of: int = OF) -
     a, b = apart.alias("a"), apart.alias("b")
     able = _possible(F.col("a.n"), F.col("b.n"), F.col("a.able"), F.col("b.able"), times, of)
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & able
-                  & ~F.arrays_overlap("a.early", "b.early"))
+                  & ~_met_before("a", "b"))
     rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     more = stored(_verified(rest, sets, times, of))
     if more.isEmpty():
