@@ -43,14 +43,17 @@ def slices(texts: list, most_chars: int = 2_000_000) -> Iterator[range]:
         yield range(start, len(texts))
 
 
-def word_hashes(texts: list, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list, table: bytes = LOWER, prefixes: tuple[int, ...] | None = None):
     """Hashes of the blank-separated words of all texts, and where each text's words begin.
 
     ``table`` maps bytes before the split. The second array has one entry more
-    than there are texts. A null text has no words.
+    than there are texts. A null text has no words. With ``prefixes`` the hashes get a row for
+    the whole words and one for their first so many bytes, and words' first and
+    last bytes (excluded), texts' first bytes and all bytes follow.
     """
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer((b" ".join(encoded) + b" ").translate(table), dtype=np.uint8)
+    raw = b" ".join(encoded) + b" "
+    joined = np.frombuffer(raw.translate(table), dtype=np.uint8)
     blank = joined == 32
     word = ~blank
     first = word.copy()
@@ -60,11 +63,20 @@ def word_hashes(texts: list, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarr
     rising = np.zeros(len(joined) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(joined)), out=rising[1:])
-        hashes = mix((rising[ends] - rising[starts]) * powers(_BASE_INVERSE, len(joined) + 1)[starts]
-                     + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        lowered = powers(_BASE_INVERSE, len(joined) + 1)[starts]
+
+        def hashed(to):
+            return mix((rising[to] - rising[starts]) * lowered + (to - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        hashes = hashed(ends)
+        if prefixes is not None:
+            hashes = np.stack([hashes, *[hashed(np.minimum(ends, starts + k)) for k in prefixes]])
     bounds = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(e) + 1 for e in encoded], out=bounds[1:])
-    return hashes, np.searchsorted(starts, bounds)
+    places = np.searchsorted(starts, bounds)
+    if prefixes is None:
+        return hashes, places
+    return hashes, places, starts, ends, bounds[:-1], np.frombuffer(raw, dtype=np.uint8)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:

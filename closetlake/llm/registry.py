@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from closetlake.llm import jaccard_join, langid, mixing, sharding, tiling
+from closetlake.llm import fingerprints, jaccard_join, langid, licenses, mixing, quality, sharding, tiling, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_language_id": langid.op2_language_id,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_decontamination": tiling.op4_decontamination,
+    "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sharding": sharding.op9_sharding,
     "pipeline": corpus_pipeline.run,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
 }
