@@ -28,7 +28,7 @@ from closetlake.llm.common import held_out, in_training, prepare, table
 from closetlake.llm.hashing import slices, word_hashes
 from closetlake.llm.labelled import sample
 
-PER_CLASS = 1200
+PER_CLASS = 800
 MOST_TOKENS = 1000
 PRECISION, SUPPORT = 0.75, 4
 SEQUENCE = 256
@@ -74,12 +74,12 @@ def read(texts: list, places: bool = True) -> Tokens:
         text_begin[full] = points[begin[line_at[full]]]
         base = np.repeat(text_begin, counts)
         first, last = points[starts] - base, points[ends] - base
-    return Tokens(hashes, cuts.astype(np.int64), counts, first, last)
+    return Tokens(hashes.astype(np.uint32), cuts.astype(np.int64), counts, first, last)
 
 
 def features(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Feature numbers: the token, its prefixes, the token before and after (within the sequence)."""
-    own = (hashes % np.uint64(BUCKETS - 1)).astype(np.int64)
+    own = (hashes % np.uint32(BUCKETS - 1)).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     full = lengths > 0
     before, after = np.roll(own[0], 1), np.roll(own[0], -1)
@@ -131,16 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                 turn = np.roll(np.arange(len(ends)), -a)
                 turn = turn[np.cumsum(found.lengths[turn]) <= MOST_TOKENS]
                 at = np.concatenate([np.arange(ends[k] - found.lengths[k], ends[k]) for k in turn]) if len(turn) else np.zeros(0, dtype=np.int64)
-                out.append((doc_id, int(label), found.hashes[:, at].view(np.int64).ravel(), found.lengths[turn]))
+                out.append((doc_id, int(label), found.hashes[:, at].tobytes(), found.lengths[turn].astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "label", "hashes", "lengths"])
 
-    got = rows.mapInPandas(send, "doc_id long, label int, hashes array<long>, lengths array<long>").limit(2 * per_class).collect()
+    got = rows.mapInPandas(send, "doc_id long, label int, hashes binary, lengths binary").limit(2 * per_class).collect()
     got = sorted((r for r in got if r["hashes"]), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
 
     def flat(part):
-        hashes = np.concatenate([np.array(r["hashes"], dtype=np.int64).view(np.uint64).reshape(1 + len(PREFIXES), -1) for r in part], axis=1)
-        lengths = np.concatenate([np.array(r["lengths"], dtype=np.int64) for r in part])
-        counts = np.array([sum(r["lengths"]) for r in part])
+        hashes = np.concatenate([np.frombuffer(r["hashes"], dtype=np.uint32).reshape(1 + len(PREFIXES), -1) for r in part], axis=1)
+        each = [np.frombuffer(r["lengths"], dtype=np.int32).astype(np.int64) for r in part]
+        lengths, counts = np.concatenate(each), np.array([x.sum() for x in each])
         return hashes, lengths, counts, np.array([r["label"] for r in part])
 
     rest = got[2::3]
@@ -184,7 +184,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for series in batches:
             texts, scores, spans = list(series), [], []
-            for part in slices(texts, 1_000_000):
+            for part in slices(texts, 300_000):
                 found = read(texts[part.start: part.stop])
                 if model.field is None:
                     scores.append(np.full(len(found.counts), model.share))
