@@ -21,7 +21,7 @@ from closetlake.llm.common import prepare, table
 BINS, SHINGLE = 128, 5
 BIN_BITS, LOW_BITS = 7, 8
 #: Characters of text that an ordered bucket holds on average.
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 4_000_000
 #: More text than fits so many buckets makes them larger (a sort spills), not more.
 MOST_BUCKETS = 10_000
 

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.llm.common import in_training, held_out, prepare, sample_order, table
 from closetlake.llm.hashing import mix, slices
+from closetlake.llm.labelled import per_class
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -117,10 +118,7 @@ def gram_counts(text: str) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from the text and non-null lang of the given rows; None if there are no labelled letters."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    # Of each language the rows that come first in the fixed order; Spark keeps so many in each task before the shuffle.
-    first = Window.partitionBy("lang").orderBy(*sample_order("doc_id"))
-    chosen = labelled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
-    ids = chosen.select("doc_id", "lang").limit(MOST_LANGUAGES * per_language).distinct()
+    ids = per_class(labelled, "lang", per_language, MOST_LANGUAGES).distinct()
 
     def count(batches):
         for batch in batches:
