@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from closetlake.functions.values import as_date, as_instant, col
 
 
-def instant(seconds, iso_text) -> Column:
-    """An instant given as epoch seconds or else as ISO text; null if neither."""
-    return F.coalesce(
-        F.timestamp_seconds(col(seconds)), F.try_to_timestamp(col(iso_text))
-    )
+def instant(seconds, iso_text, millis=None) -> Column:
+    """An instant given as epoch seconds, epoch milliseconds or ISO text, the first that is known; null if none."""
+    known = [F.timestamp_seconds(col(seconds)), F.try_to_timestamp(col(iso_text))]
+    if millis is not None:
+        known.insert(1, F.timestamp_millis(col(millis).cast("bigint")))
+    return F.coalesce(*known)
+
+
+_ISO_DAY = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$"
 
 
 def day(c) -> Column:
@@ -25,11 +29,19 @@ def day(c) -> Column:
 def shift_month(selected, displayed_month, months) -> Column:
     """The selected date moved by whole months, cut to the month's last day.
 
-    Text that is no date starts from day 1 of the displayed month.
+    Year, month and day are read apart, so a day that its month lacks (31 February)
+    still counts as day 31. Text of another form starts from day 1 of the displayed month.
     """
-    picked = F.try_to_date(col(selected))
-    start = F.coalesce(picked, F.trunc(col(displayed_month), "month").cast("date"))
-    return F.add_months(start, months)
+    parts = [F.regexp_extract(col(selected).cast("string"), _ISO_DAY, k).try_cast("int") for k in (1, 2, 3)]
+    picked = F.when(parts[1].between(1, 12) & parts[2].between(1, 31), F.make_date(parts[0], parts[1], F.lit(1)))
+    moved = F.add_months(F.coalesce(picked, month_start(displayed_month)), months)
+    last = F.dayofmonth(F.last_day(moved))
+    return F.date_add(moved, F.coalesce(F.when(picked.isNotNull(), F.least(parts[2], last)), F.lit(1)) - 1)
+
+
+def shifted_display(selected, displayed_month, months) -> Column:
+    """First day of the month that is shown after the move."""
+    return month_start(shift_month(selected, displayed_month, months))
 
 
 def month_start(c) -> Column:

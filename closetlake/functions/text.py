@@ -103,9 +103,12 @@ def coupon_code(c) -> Column:
 
 
 def web_url(c) -> Column:
-    """The URL when it parses and is http or https, else ''."""
+    """The URL when it parses and is http or https, else ''; scheme and host in lower case, an empty path as ``/``."""
     scheme = F.lower(F.try_parse_url(col(c), F.lit("PROTOCOL")))
-    return F.when(scheme.isin("http", "https"), col(c)).otherwise("")
+    whole = r"^\s*[A-Za-z]+://([^/?#]*)(.*?)\s*$"
+    host, rest = F.lower(F.regexp_extract(col(c), whole, 1)), F.regexp_extract(col(c), whole, 2)
+    rooted = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host, rooted)).otherwise("")
 
 
 def local_asset(c) -> Column:

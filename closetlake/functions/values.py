@@ -70,8 +70,15 @@ def points(earned, score_total) -> Column:
 
 
 def exact_sum(c) -> Column:
-    """Sum of doubles added as decimals: the same whatever the order of the rows."""
-    return F.sum(col(c).cast("decimal(24,6)")).cast("double")
+    """Sum of numbers; those with up to six decimals are added exactly, whatever the order of the rows.
+
+    Others (too large, or with more decimals) are added as doubles, so none is cut or fails.
+    """
+    x = col(c).cast("double")
+    plain = x.try_cast("decimal(24,6)")
+    exact = F.coalesce(plain.cast("double") == x, F.lit(False))
+    parts = F.coalesce(F.sum(F.when(exact, plain)).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(F.when(~exact, x)), F.lit(0.0))
+    return F.when(F.count(x) > 0, parts)
 
 
 def number(c) -> Column:

@@ -70,39 +70,27 @@ def _instants(df: DataFrame, names: list[str]) -> DataFrame:
 ACTIVITY_CHAIN = ["ts", "created_at", "updated_at", "worn_at", "date"]
 
 
-def latest_activity(tables: list[DataFrame]) -> DataFrame:
-    """Latest instant per user over several tables.
-
-    Each table is reduced per user before the union, so the union moves at most
-    one row per user and task.
-    """
-    parts = [
-        _instants(t, ACTIVITY_CHAIN).groupBy("user_id").agg(F.max("ts").alias("ts")) for t in tables
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy("user_id").agg(F.max("ts").alias("seen"))
+def user_activity(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows per user of each named table and the latest instant over all, in one grouping."""
+    parts = [_instants(t, ACTIVITY_CHAIN).withColumn("kind", F.lit(name)) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("user_id").agg(
+        *[F.count_if(F.col("kind") == name).alias(name) for name in tables], F.max("ts").alias("seen"))
 
 
 def user_rollup(users, items, looks, history, wear, quests, responses, logs) -> DataFrame:
     """Users with counts of what they own and did, and their last activity."""
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
-
     base = users.withColumn("own", F.coalesce(*[
         F.col(n).cast("timestamp") for n in ACTIVITY_CHAIN if n in users.columns
     ]))
-    joined = left_all(
-        base,
-        [counted(items, "garments"), counted(looks, "outfits"), counted(responses, "responses"),
-         counted(history, "analyses"),
-         latest_activity([items, looks, history, wear, quests, responses, logs])],
-    )
-    filled = zero_filled(joined, ["garments", "outfits", "responses", "analyses"])
+    done = user_activity({
+        "garments": items, "outfits": looks, "responses": responses, "analyses": history, "worn": wear, "quested": quests, "called": logs,
+    })
+    filled = zero_filled(base.join(done, "user_id", "left"), ["garments", "outfits", "responses", "analyses"])
     return (
         filled.withColumn("name", display_name("Unnamed user"))
         .withColumn("ai_actions", F.col("responses") + F.col("analyses"))
         .withColumn("last_activity", F.greatest("seen", "own"))
-        .drop("responses", "analyses", "seen", "own")
+        .drop("responses", "analyses", "worn", "quested", "called", "seen", "own")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from closetlake.functions.calendar import day, within_days
 from closetlake.functions.text import event_detail
 from closetlake.functions.values import first_text
+from closetlake.operators.accounts import ACTIVITY_CHAIN
 from closetlake.operators.common import left_all, newest_first, page, zero_filled
 
 EVENTS_PER_PAGE = 30
@@ -103,7 +104,8 @@ def feed_page(feed: DataFrame, number: int) -> DataFrame:
     rows = rows.withColumn("heading", F.coalesce(previous != F.col("day"), F.lit(True)))
     counted = rows.join(events_per_day(feed), "day", "left")
     return counted.select(
-        "row_no", "page", "page_count", "event_id", "label", "day", "heading",
+        "row_no", "page", "page_count", "event_id", "label", *[c for c in ("actor", "user_id", "type", "detail", "time") if c in counted.columns],
+        "day", "heading",
         F.when(F.col("heading"), F.col("events")).alias("day_events"),
     )
 
@@ -117,7 +119,8 @@ def user_detail(users, feed, items, looks, start=None, end=None) -> DataFrame:
     )
 
     def added(df: DataFrame, name: str) -> DataFrame:
-        kept = df.filter(within_days("created_at", start, end))
+        known = F.coalesce(*[F.col(c).cast("timestamp") for c in ACTIVITY_CHAIN if c in df.columns])
+        kept = df.withColumn("_at", known).filter(within_days("_at", start, end))
         return kept.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count(F.lit(1)).alias(name))
 
     base = users.select(F.col("user_id").cast("string").alias("user_id"))

@@ -33,7 +33,8 @@ def head_checks(pages: DataFrame, expected: str, image: str) -> DataFrame:
 
 def forbidden_wording(pages: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Pages that hold a forbidden wording, in any case."""
-    pattern = "(?i)" + "|".join(words or FORBIDDEN)
+    quoted = ["\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words or FORBIDDEN]
+    pattern = "(?i)" + "|".join(quoted)
     return pages.filter(F.col("html").rlike(pattern)).select("page_id")
 
 

@@ -142,8 +142,10 @@ def share_metrics(links: DataFrame, attribution: DataFrame) -> DataFrame:
 def daily_limit_use(logs: DataFrame, users: DataFrame, global_limit: Column) -> DataFrame:
     """AI calls per user and day against the user's effective limit."""
     daily = logs.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("calls"))
-    limits = users.select("user_id", effective_limit("ai_daily_limit", global_limit).alias("daily_limit"))
-    return daily.join(limits, "user_id").withColumn("over_limit", F.col("calls") > F.col("daily_limit"))
+    own = users.select("user_id", "ai_daily_limit")
+    # Accounts without a user row have the limit of all.
+    limited = daily.join(own, "user_id", "left").withColumn("daily_limit", effective_limit("ai_daily_limit", global_limit))
+    return limited.drop("ai_daily_limit").withColumn("over_limit", F.col("calls") > F.col("daily_limit"))
 
 
 def first_recommendations(logs: DataFrame) -> DataFrame:

@@ -73,10 +73,10 @@ def most_repeated(items: DataFrame, worn: DataFrame) -> DataFrame:
     top = first_per_key(
         weekly_item_wears(worn), ["user_id"], [-F.col("wears"), F.col("first_seen")], ["item_id", "wears"]
     )
-    eligible = items.filter(report_eligible()).select("user_id", "item_id", F.col("title").alias("most_repeated"))
+    eligible = items.filter(report_eligible()).select("user_id", "item_id", F.col("title").alias("most_repeated"), F.lit(True).alias("_eligible"))
     return top.join(eligible, ["user_id", "item_id"], "left").select(
         "user_id",
-        F.when(F.col("most_repeated").isNotNull(), F.col("item_id")).alias("most_repeated_id"),
+        F.when(F.col("_eligible"), F.col("item_id")).alias("most_repeated_id"),
         "most_repeated",
     )
 

@@ -14,8 +14,11 @@ from closetlake.functions.text import clean, coupon_code, strip
 from closetlake.functions.values import as_date, as_instant, first_text, is_true, number, whitelisted
 from closetlake.operators.common import flag_first
 
+# Fixed values of the service.
 COUPON_PLANS = ["monthly", "yearly", "custom"]
 MAX_COUPON_DAYS = 3650
+# Instants end near the year 290,000.
+MAX_EXPIRY_DAYS = 90_000_000
 MAX_DAILY_LIMIT = 10_000
 DEFAULT_MESSAGE = "AI features are temporarily unavailable. Please try again later."
 
@@ -41,6 +44,13 @@ def new_plans(requests: DataFrame, looks: DataFrame, look_items: DataFrame, wear
     return rows.join(wear.select("record_id"), "record_id", "left_anti")
 
 
+def new_plan_items(plans: DataFrame, look_items: DataFrame) -> DataFrame:
+    """The pieces of new plans, for the long table of worn pieces: those of the look, in its order."""
+    pieces = look_items.select("user_id", F.col("look_id").alias("outfit_id"), "pos", "item_id")
+    return plans.select("user_id", "record_id", "outfit_id").join(pieces, ["user_id", "outfit_id"]).select(
+        "user_id", "record_id", "pos", "item_id")
+
+
 def marked_worn(wear: DataFrame, requests: DataFrame, as_of, now) -> DataFrame:
     """Wear records with the requested ones set to worn.
 
@@ -96,18 +106,21 @@ def checked_coupons(requests: DataFrame, coupons: DataFrame, now) -> DataFrame:
     shaped = requests.select(
         "request_id", coupon_code("code").alias("code"),
         F.coalesce(whitelisted("plan", COUPON_PLANS, "monthly")).alias("plan"), F.col("days"),
-        F.when(_whole("max_redemptions") & (cap > 0), cap.cast("int")).alias("max_redemptions"),
+        F.when(_whole("max_redemptions") & (cap > 0), cap.try_cast("bigint")).alias("max_redemptions"),
         F.when(
-            _whole("expires_in_days") & (days_left > 0),
-            as_instant(now) + F.make_dt_interval(days_left.cast("int")),
+            _whole("expires_in_days") & days_left.between(1, MAX_EXPIRY_DAYS),
+            as_instant(now) + F.make_dt_interval(days_left.try_cast("int")),
         ).alias("expires_at"),
         F.nullif(strip("campaign_label"), F.lit("")).alias("campaign_label"),
+        F.lit(True).alias("active"), F.lit(0).cast("bigint").alias("redeemed_count"), as_instant(now).alias("created_at"),
+        F.coalesce(days_left > MAX_EXPIRY_DAYS, F.lit(False)).alias("_too_far"),
     )
     good_days = _whole("days") & F.col("days").between(1, MAX_COUPON_DAYS)
     reasoned = shaped.withColumn(
         "reject_reason",
-        F.when(F.length("code") < 4, "code too short").when(~F.coalesce(good_days, F.lit(False)), "days out of range"),
-    )
+        F.when(F.length("code") < 4, "code too short").when(~F.coalesce(good_days, F.lit(False)), "days out of range")
+        .when(F.col("_too_far"), "expiry out of range"),
+    ).drop("_too_far")
     taken = coupons.select(coupon_code("code").alias("code")).distinct().withColumn("_taken", F.lit(True))
     open_, closed = reasoned.filter("reject_reason IS NULL"), reasoned.filter("reject_reason IS NOT NULL")
     ordered = flag_first(open_, "code", ["request_id"], "_first").join(taken, "code", "left")

@@ -16,13 +16,10 @@ def write_users_csv(rows: DataFrame, path: str) -> None:
 def append_call_log(rows: DataFrame, path: str) -> None:
     """Append call-log rows, one folder per day.
 
-    Rows of a day are first brought together, salted by log id so that a busy
-    day is not written by one task.
+    Rows of a day are first brought together; adaptive execution splits a busy
+    day into as many tasks as its size asks for.
     """
-    from pyspark.sql import functions as F
-
-    spread = F.pmod(F.xxhash64("log_id"), F.lit(16))
-    rows.repartition("log_date", spread).write.mode("append").partitionBy("log_date").parquet(path)
+    rows.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:

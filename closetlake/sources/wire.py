@@ -2,8 +2,8 @@
 
 A document is ``{"name": ".../id", "fields": {field: {"stringValue": ...}}}``
 with one entry per value naming its type. The wire schema is derived from the
-declared schema of the table, so the parser reads only declared fields, and
-decoding is plain column access.
+declared schema of the table, so the parser reads only declared fields.
+A value whose type differs from the declared one is converted.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT = T.StringType()
+#: A scalar says its type by the tag that holds it, whatever the column holds.
+_SCALAR = T.StructType([
+    T.StructField("stringValue", _TEXT), T.StructField("integerValue", _TEXT), T.StructField("doubleValue", T.DoubleType()),
+    T.StructField("booleanValue", T.BooleanType()), T.StructField("timestampValue", _TEXT),
+])
 
 
 def _wire_type(kind: T.DataType) -> T.StructType:
@@ -22,11 +27,7 @@ def _wire_type(kind: T.DataType) -> T.StructType:
     if isinstance(kind, T.StructType):
         fields = T.StructType([T.StructField("fields", _wire_fields(kind))])
         return T.StructType([T.StructField("mapValue", fields)])
-    if isinstance(kind, T.NumericType):
-        # A number may come in either form whatever the column holds.
-        return T.StructType([T.StructField("integerValue", _TEXT), T.StructField("doubleValue", T.DoubleType())])
-    name = {T.BooleanType: "booleanValue", T.TimestampType: "timestampValue"}.get(type(kind), "stringValue")
-    return T.StructType([T.StructField(name, T.BooleanType() if name == "booleanValue" else _TEXT)])
+    return _SCALAR
 
 
 def _wire_fields(schema: T.StructType) -> T.StructType:
@@ -45,24 +46,48 @@ def _decoded(c: Column, kind: T.DataType) -> Column:
             c["mapValue"].isNotNull(),
             F.struct(*[_decoded(inner[f.name], f.dataType).alias(f.name) for f in kind.fields]),
         )
+    return F.coalesce(*_readings(c, kind))
+
+
+def _readings(c: Column, kind: T.DataType) -> list[Column]:
+    """What each type tag says as a value of ``kind``; one tag at most is set."""
+    text, whole, real = c["stringValue"], c["integerValue"], c["doubleValue"]
+    flag, moment = c["booleanValue"], c["timestampValue"]
     if isinstance(kind, T.NumericType):
-        return F.coalesce(c["integerValue"].try_cast("double"), c["doubleValue"]).cast(kind)
+        return [whole.try_cast(kind), real.try_cast(kind), F.trim(text).try_cast(kind), flag.cast("int").try_cast(kind)]
     if isinstance(kind, T.BooleanType):
-        return c["booleanValue"]
-    if isinstance(kind, T.TimestampType):
-        return F.try_to_timestamp(c["timestampValue"])
-    if isinstance(kind, T.DateType):
-        return F.try_to_date(c["stringValue"])
-    return c["stringValue"]
+        return [flag, text.try_cast("boolean"), (whole.try_cast("double") != 0), real != 0]
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        # Numbers are epoch milliseconds.
+        millis = F.coalesce(whole.try_cast("bigint"), real.try_cast("bigint"))
+        instants = [F.try_to_timestamp(moment), F.try_to_timestamp(text), F.timestamp_millis(millis)]
+        if isinstance(kind, T.DateType):
+            return [F.try_to_date(text), *[x.cast("date") for x in instants]]
+        return instants
+    return [text, whole, real.cast("string"), flag.cast("string"), moment]
+
+
+def _unread(c: Column, kind: T.DataType) -> Column:
+    """True for a scalar that has a value but none of the declared kind."""
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.lit(False)
+    given = F.coalesce(*[c[f.name].cast("string") for f in _SCALAR.fields]).isNotNull()
+    return given & _decoded(c, kind).isNull()
+
 
+def decode_documents(raw: DataFrame, schema: T.StructType, column: str = "value", id_field: str = "id", rejects: str | None = None) -> DataFrame:
+    """Plain rows of wire documents, with the id taken from the document name.
 
-def decode_documents(raw: DataFrame, schema: T.StructType, column: str = "value", id_field: str = "id") -> DataFrame:
-    """Plain rows of wire documents, with the id taken from the document name."""
+    Values are converted from the type they came in. ``rejects`` names a column for the
+    fields that hold a value which cannot be converted.
+    """
     wire = T.StructType([T.StructField("name", _TEXT), T.StructField("fields", _wire_fields(schema))])
     doc = raw.select(F.from_json(column, wire).alias("d"))
+    unread = [F.when(_unread(F.col(f"d.fields.`{f.name}`"), f.dataType), F.lit(f.name)) for f in schema.fields]
     return doc.select(
         F.element_at(F.split("d.name", "/"), -1).alias(id_field),
         *[_decoded(F.col(f"d.fields.`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields],
+        *([F.filter(F.array(*unread), lambda x: x.isNotNull()).alias(rejects)] if rejects else []),
     )
 
 

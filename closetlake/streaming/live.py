@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.functions.values import rounded_percent
+from closetlake.functions.values import exact_sum, rounded_percent
 
 
 def _timed(logs: DataFrame, delay: str) -> DataFrame:
@@ -23,9 +23,9 @@ def health_by_window(logs: DataFrame, width: str = "1 day", delay: str = "1 hour
     good, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "failure")
     figures = _timed(logs, delay).groupBy(F.window("ts", width)).agg(
         F.count(F.lit(1)).alias("calls"), good.alias("good"), bad.alias("failures"),
-        F.sum(F.col("response_time").cast("decimal(24,6)")).alias("total_ms"), F.count("response_time").alias("measured"),
+        exact_sum("response_time").alias("total_ms"), F.count("response_time").alias("measured"),
     )
-    average = F.round(F.col("total_ms").cast("double") / F.nullif(F.col("measured"), F.lit(0))).cast("bigint")
+    average = F.round(F.col("total_ms") / F.nullif(F.col("measured"), F.lit(0))).cast("bigint")
     return figures.select(
         F.col("window.start").alias("start"), "calls",
         rounded_percent("good", F.col("good") + F.col("failures"), 100).alias("success_percent"),

@@ -53,6 +53,8 @@ def test_month_shift(spark):
     assert one(spark, calendar.shift_month(F.lit("2027-01-31"), shown, 1)) == date(2027, 2, 28)
     assert one(spark, calendar.shift_month(F.lit("2027-02-28"), shown, -2)) == date(2026, 12, 28)
     assert one(spark, calendar.shift_month(F.lit("?"), shown, -2)) == date(2026, 11, 1)
+    assert one(spark, calendar.shift_month(F.lit("2027-02-31"), shown, 1)) == date(2027, 3, 31)
+    assert one(spark, calendar.shifted_display(F.lit("2027-02-31"), shown, 1)) == date(2027, 3, 1)
 
 
 def test_leap_february(spark):
@@ -100,7 +102,8 @@ def test_text_helpers(spark):
     assert one(spark, text.clean_list(F.array(F.lit("<>"), F.lit("a"), F.lit("b")), 2, 5)) == ["a"]
     assert one(spark, text.list_text(F.array(F.lit("slim_fit"), F.lit("x")))) == "Slim Fit, X"
     assert one(spark, text.search_key(F.lit("Black & White T-Shirt"))) == "blackandwhitetshirt"
-    assert one(spark, text.web_url(F.lit("HTTP://a.b/c"))) == "HTTP://a.b/c"
+    assert one(spark, text.web_url(F.lit("HTTP://A.b/C?x"))) == "http://a.b/C?x"
+    assert one(spark, text.web_url(F.lit("https://A.b"))) == "https://a.b/"
     assert one(spark, text.web_url(F.lit("javascript:1"))) == ""
     assert one(spark, text.local_asset(F.lit("./assets/a.png\n"))) == ""
     assert one(spark, text.admin_flag(F.lit('{"admin": true}'))) is True
@@ -248,3 +251,38 @@ def test_updates_can_be_repeated(spark):
     twice = writes.marked_worn(once, asked, date(2026, 8, 5), datetime(2026, 8, 5))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
     assert {r["record_id"]: r["status"] for r in once.collect()} == {"1": "worn", "2": "planned"}
+
+
+def test_sums_keep_small_and_large_numbers(spark):
+    from closetlake.functions.values import exact_sum
+
+    def total(*xs):
+        return spark.createDataFrame([(x,) for x in xs], "x double").agg(exact_sum("x")).first()[0]
+
+    assert total(1e-7, 2e-7) == pytest.approx(3e-7) and total(1e19, 1.5) == pytest.approx(1e19)
+    assert total(0.1, 0.2) == 0.3 and total(None) is None
+
+
+def test_eligible_garment_without_title_is_still_most_repeated(spark):
+    from closetlake.operators import report
+
+    items = spark.createDataFrame([(1, "i1", None, None, None)], "user_id long, item_id string, title string, type string, hidden_from_ai boolean")
+    worn = spark.createDataFrame([(1, "r1", 0, "i1", 3)], "user_id long, record_id string, pos int, item_id string, days_ago int")
+    got = report.most_repeated(items, worn).collect()
+    assert [(r["most_repeated_id"], r["most_repeated"]) for r in got] == [("i1", None)]
+
+
+def test_forbidden_wording_is_plain_text(spark):
+    from closetlake.operators.page_checks import forbidden_wording
+
+    pages = spark.createDataFrame([(1, "x A+B y"), (2, "aab")], "page_id int, html string")
+    assert [r["page_id"] for r in forbidden_wording(pages, ["a+b"]).collect()] == [1]
+
+
+def test_deep_page_orders_few_rows(spark):
+    from closetlake.operators.common import page
+
+    df = spark.range(0, 5000).select("id", (F.col("id") * 7_000_000_000).alias("at"))
+    got = page(df, [F.col("at"), F.col("id")], 10**12, 30).collect()
+    assert sorted(r["id"] for r in got) == list(range(4980, 5000)) and {r["page"] for r in got} == {167}
+    assert sorted(r["row_no"] for r in got) == list(range(4981, 5001))

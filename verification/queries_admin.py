@@ -65,11 +65,13 @@ def _(t):
 
 
 @query("users_page", "F11,E5", f"""
-WITH {ROLLUP} SELECT user_id, name, row_no, 3 AS page, CAST(ceil(n / 20) AS BIGINT) AS page_count FROM (
+WITH {ROLLUP} SELECT user_id, name, row_no, CAST(ceil(row_no / 20) AS BIGINT) AS page, CAST(ceil(n / 20) AS BIGINT) AS page_count FROM (
   SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, user_id) AS row_no, count(*) OVER () AS n FROM rollup)
-WHERE row_no BETWEEN 41 AND 60""")
+WHERE row_no BETWEEN 41 AND 60 OR ceil(row_no / 20) = ceil(n / 20)""")
 def _(t):
-    return accounts.users_page(rollup(t), 3).select("user_id", "name", "row_no", "page", "page_count")
+    """The third page and the last one."""
+    both = [accounts.users_page(rollup(t), n) for n in (3, 1_000_000_000_000)]
+    return both[0].unionByName(both[1]).select("user_id", "name", "row_no", "page", "page_count")
 
 
 @query("user_export", "A8", f"""
@@ -210,7 +212,7 @@ def _(t):
 WITH {FEED}, ranked AS (
   SELECT *, CAST(time AS DATE) AS day, row_number() OVER (ORDER BY time DESC, event_id) AS row_no, count(*) OVER () AS n FROM timed),
 shown AS (SELECT *, coalesce(lag(day) OVER (ORDER BY row_no) <> day, true) AS heading FROM ranked WHERE row_no BETWEEN 301 AND 330)
-SELECT row_no, 11 AS page, CAST(ceil(n / 30) AS BIGINT) AS page_count, event_id, label, day, heading,
+SELECT row_no, 11 AS page, CAST(ceil(n / 30) AS BIGINT) AS page_count, event_id, label, type, user_id, detail, time, day, heading,
   CASE WHEN heading THEN (SELECT count(*) FROM timed x WHERE CAST(x.time AS DATE) = shown.day) END AS day_events FROM shown""")
 def _(t):
     return activity.feed_page(feed(t), 11)
@@ -219,12 +221,11 @@ def _(t):
 @query("activity_last_page", "E5", f"""
 WITH {FEED}, ranked AS (
   SELECT *, row_number() OVER (ORDER BY time DESC, event_id) AS row_no, count(*) OVER () AS n
-  FROM timed WHERE type = 'ai' AND time >= TIMESTAMP '2024-01-29 00:00:00')
+  FROM timed)
 SELECT row_no, page_count AS page, page_count, event_id FROM (SELECT *, CAST(ceil(n / 30) AS BIGINT) AS page_count FROM ranked)
 WHERE ceil(row_no / 30) = page_count""")
 def _(t):
-    recent = activity.filter_feed(feed(t), "ai", date(2024, 1, 29))
-    return activity.feed_page(recent, 1000).select("row_no", "page", "page_count", "event_id")
+    return activity.feed_page(feed(t), 1_000_000_000).select("row_no", "page", "page_count", "event_id")
 
 
 @query("user_detail", "D24", f"""
@@ -239,7 +240,10 @@ LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM {{v_it
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM {{v_looks}}
   WHERE created_at >= TIMESTAMP '1998-01-01 00:00:00' AND created_at < TIMESTAMP '1999-01-01 00:00:00' GROUP BY ALL) l USING (user_id)""")
 def _(t):
-    return activity.user_detail(t.v_accounts, feed(t), t.v_items, t.v_looks, date(1998, 1, 1), date(1998, 12, 31))
+    # Every other garment only says when it was changed.
+    odd = F.expr("item_id % 2 = 1")
+    items = t.v_items.withColumns({"updated_at": F.when(odd, F.col("created_at")), "created_at": F.when(~odd, F.col("created_at"))})
+    return activity.user_detail(t.v_accounts, feed(t), items, t.v_looks, date(1998, 1, 1), date(1998, 12, 31))
 
 
 @query("platform_totals", "D1", f"""
@@ -329,9 +333,10 @@ def _(t):
 SELECT l.user_id, l.day, l.calls, CAST(coalesce(u.ai_daily_limit, 12) AS BIGINT) AS daily_limit,
   l.calls > coalesce(u.ai_daily_limit, 12) AS over_limit
 FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM {v_api_logs} GROUP BY ALL) l
-JOIN {v_accounts} u ON l.user_id = u.user_id""")
+LEFT JOIN (SELECT * FROM {v_accounts} WHERE user_id % 3 <> 0) u ON l.user_id = u.user_id""")
 def _(t):
-    return platform.daily_limit_use(t.v_api_logs, t.v_accounts, F.lit(12))
+    """Every third account has no user row."""
+    return platform.daily_limit_use(t.v_api_logs, t.v_accounts.filter("user_id % 3 <> 0"), F.lit(12))
 
 
 @query("first_recommendations", "D30", """

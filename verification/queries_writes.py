@@ -31,6 +31,37 @@ def _(t):
     return platform.labelled_counts(frames)
 
 
+@query("wire_mixed_tags", "A6", """
+SELECT CAST(item_id AS VARCHAR) AS id, CAST(times_worn AS VARCHAR) AS label,
+  CASE item_id % 4 WHEN 0 THEN NULL ELSE CAST(times_worn AS DOUBLE) END AS paid,
+  TIMESTAMP '1970-01-01 00:00:00' + INTERVAL 1 SECOND * times_worn AS seen, DATE '1998-03-04' AS bought,
+  CASE item_id % 4 WHEN 0 THEN 'paid' ELSE '' END AS unread
+FROM {v_items} WHERE times_worn IS NOT NULL""")
+def _(t):
+    """Columns whose values come under another type tag in every row, some of which cannot be read."""
+    from pyspark.sql.types import StructType
+
+    n, kind = F.col("times_worn"), F.col("item_id") % 4
+    text = n.cast("string")
+    moment = F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def tagged(**tags):
+        return F.struct(*[v.alias(k) for k, v in tags.items()])
+
+    fields = F.struct(
+        tagged(stringValue=F.when(kind < 2, text), integerValue=F.when(kind >= 2, text)).alias("label"),
+        tagged(stringValue=F.when(kind == 0, F.lit("much")).when(kind == 1, text), integerValue=F.when(kind == 2, text),
+               doubleValue=F.when(kind == 3, n.cast("double"))).alias("paid"),
+        tagged(stringValue=F.when(kind == 0, moment), integerValue=F.when(kind == 1, (n * 1000).cast("string")),
+               timestampValue=F.when(kind >= 2, moment)).alias("seen"),
+        tagged(stringValue=F.when(kind < 2, F.lit("1998-03-04")), timestampValue=F.when(kind >= 2, F.lit("1998-03-04T05:06:07Z"))).alias("bought"),
+    )
+    rows = t.v_items.filter("times_worn IS NOT NULL")
+    raw = rows.select(F.to_json(F.struct(F.concat(F.lit("d/"), F.col("item_id").cast("string")).alias("name"), fields.alias("fields"))).alias("value"))
+    wanted = StructType.fromDDL("label string, paid double, seen timestamp, bought date")
+    return decode_documents(raw, wanted, rejects="unread").withColumn("unread", F.array_join("unread", ","))
+
+
 @query("wire_documents", "A6", """
 SELECT CAST(item_id AS VARCHAR) AS id, user_id, title, pattern, times_worn, purchase_price, favorite, created_at,
        array_to_string(string_split(title, ' '), '|') AS tags, brand AS maker, purchase_price AS paid
@@ -77,6 +108,16 @@ def _(t):
     return writes.new_plans(t.v_plan_requests, t.v_looks, t.v_look_items, t.v_plans, NOW)
 
 
+@query("plan_insert_pieces", "A9", """
+SELECT r.user_id, 'web_' || r.user_id || '_' || r.wear_date || '_' || r.look_id AS record_id, i.pos, i.item_id
+FROM (SELECT DISTINCT user_id, look_id, wear_date FROM {v_plan_requests}) r JOIN {v_looks} l ON r.user_id = l.user_id AND r.look_id = l.look_id
+JOIN {v_look_items} i ON i.user_id = r.user_id AND i.look_id = r.look_id
+WHERE NOT EXISTS (SELECT 1 FROM {v_plans} p WHERE p.record_id = 'web_' || r.user_id || '_' || r.wear_date || '_' || r.look_id)""")
+def _(t):
+    plans = writes.new_plans(t.v_plan_requests, t.v_looks, t.v_look_items, t.v_plans, NOW)
+    return writes.new_plan_items(plans, t.v_look_items)
+
+
 @query("marked_worn", "A10", f"""
 SELECT w.user_id, w.record_id, CASE WHEN r.record_id IS NOT NULL AND w.wear_date <= {D} THEN 'worn' ELSE w.status END AS status,
   CASE WHEN r.record_id IS NOT NULL AND w.wear_date <= {D} THEN {N} END AS worn_at
@@ -118,8 +159,8 @@ SELECT c_custkey AS request_id,
        ELSE ' save ' || CAST(c_custkey % 400 AS STRING) || 'x!' END AS code,
   CASE c_custkey % 4 WHEN 0 THEN 'yearly' WHEN 1 THEN 'weekly' WHEN 2 THEN 'custom' END AS plan,
   CASE c_custkey % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 2.5 WHEN 2 THEN 3651.0 ELSE CAST(c_custkey % 30 + 1 AS DOUBLE) END AS days,
-  CASE WHEN c_custkey % 3 = 0 THEN 50.0 WHEN c_custkey % 3 = 1 THEN -1.0 END AS max_redemptions,
-  CASE WHEN c_custkey % 2 = 0 THEN 10.0 WHEN c_custkey % 2 = 1 THEN 1.5 END AS expires_in_days,
+  CASE WHEN c_custkey % 3 = 0 THEN 50.0 WHEN c_custkey % 3 = 1 THEN -1.0 ELSE 3000000000.0 END AS max_redemptions,
+  CASE WHEN c_custkey % 22 = 0 THEN 3000000000.0 WHEN c_custkey % 2 = 0 THEN 10.0 WHEN c_custkey % 2 = 1 THEN 1.5 END AS expires_in_days,
   CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_mktsegment END AS campaign_label
 FROM {customer}"""
 
@@ -128,12 +169,12 @@ FROM {customer}"""
 WITH shaped AS (
   SELECT request_id, regexp_replace(upper(trim(code)), '[^A-Z0-9-]', '', 'g') AS code,
     CASE WHEN plan IN ('monthly', 'yearly', 'custom') THEN plan ELSE 'monthly' END AS plan, days,
-    CASE WHEN max_redemptions > 0 THEN CAST(max_redemptions AS INT) END AS max_redemptions,
-    CASE WHEN expires_in_days = 10 THEN {N} + INTERVAL 10 DAY END AS expires_at, nullif(trim(campaign_label), '') AS campaign_label
+    CASE WHEN max_redemptions > 0 THEN CAST(max_redemptions AS BIGINT) END AS max_redemptions,
+    CASE WHEN expires_in_days = 10 THEN {N} + INTERVAL 10 DAY END AS expires_at, nullif(trim(campaign_label), '') AS campaign_label, expires_in_days
   FROM ({COUPON_REQUESTS})),
 reasoned AS (SELECT *, CASE WHEN length(code) < 4 THEN 'code too short'
-  WHEN NOT (days = floor(days) AND days BETWEEN 1 AND 3650) THEN 'days out of range' END AS bad FROM shaped)
-SELECT request_id, code, plan, days, max_redemptions, expires_at, campaign_label,
+  WHEN NOT (days = floor(days) AND days BETWEEN 1 AND 3650) THEN 'days out of range' WHEN expires_in_days > 90000000 THEN 'expiry out of range' END AS bad FROM shaped)
+SELECT request_id, code, plan, days, max_redemptions, expires_at, campaign_label, true AS active, CAST(0 AS BIGINT) AS redeemed_count, {N} AS created_at,
   CASE WHEN bad IS NOT NULL THEN bad
        WHEN code IN (SELECT regexp_replace(upper(code), '[^A-Z0-9-]', '', 'g') FROM {{v_coupons}})
          OR row_number() OVER (PARTITION BY code, bad ORDER BY request_id) > 1 THEN 'code exists' END AS reject_reason
@@ -457,13 +498,13 @@ def _(t):
 
 
 @query("safe_links", "H22,H24,B23", """
-SELECT page_id, CASE page_id % 4 WHEN 3 THEN '' WHEN 2 THEN '' ELSE url END AS link,
+SELECT page_id, CASE page_id % 4 WHEN 3 THEN '' WHEN 2 THEN '' WHEN 1 THEN url ELSE regexp_replace(url, '^https?', 'http') END AS link,
   CASE page_id % 3 WHEN 0 THEN './assets/' || page_id || '.PNG' ELSE '' END AS asset, page_id % 5 = 0 AS admin,
   CASE WHEN page_id % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS plan FROM {pages}""")
 def _(t):
     key = F.col("page_id").cast("string")
     rows = t.pages.select(
-        "page_id", F.expr("CASE page_id % 4 WHEN 3 THEN 'javascript:x' WHEN 2 THEN 'not a url' ELSE url END").alias("link"),
+        "page_id", F.expr("CASE page_id % 4 WHEN 3 THEN 'javascript:x' WHEN 2 THEN 'not a url' WHEN 1 THEN url ELSE regexp_replace(url, '^https?', 'HTTP') END").alias("link"),
         F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("./assets/"), key, F.lit(".PNG")))
         .otherwise(F.concat(F.lit("./assets/../"), key)).alias("asset"),
         F.expr("""CASE page_id % 5 WHEN 0 THEN '{"admin": true}' WHEN 1 THEN '{"admin": "true"}' WHEN 2 THEN '{bad'
