@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators want: Arrow batches bounded in bytes (texts may be long) and splitting of hot keys in joins."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4000000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2000000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

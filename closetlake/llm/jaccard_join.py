@@ -45,6 +45,8 @@ RARE = 16
 MOST_COMBINED = 64
 #: Tokens of a set kept beside an index entry to see whether a pair is met elsewhere.
 EARLY = 6
+#: Characters hashed at a time.
+SLICE = 400_000
 #: Rows a task builds before it passes them on.
 CHUNK = 200_000
 #: A side of a join is broadcast up to so many rows (16 bytes each), and shuffled beyond.
@@ -59,7 +61,7 @@ def need(n: int, times: int, of: int) -> int:
 
 
 def _sets(texts: list, size: int) -> Iterator[np.ndarray]:
-    for part in slices(texts, 1_000_000):
+    for part in slices(texts, SLICE):
         yield from shingle_hashes(*word_hashes(texts[part.start: part.stop]), size)
 
 
@@ -218,23 +220,17 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
     some = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter(F.col("n") >= F.col("least"))
     some = stored(some.select("node"))
 
-    def name(batches):
-        for batch in batches:
-            yield batch.assign(node=[set_hash(s) for s in _sets(list(batch["text"]), size)])
-
-    def new_sets(batches):
+    def send(batches):
         seen = _Seen()
         for batch in batches:
-            kept = batch[[not seen(node) for node in batch["node"]]]
-            for s, node in zip(_sets(list(kept["text"]), size), kept["node"], strict=True):
-                yield s, (node, len(s))
-
-    def send(batches):
-        yield from _chunks(new_sets(batches), ["node", "n"])
-
-    named = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(name, "text string, node long")
-    kept = named.join(_sized_broadcast(some), "node")
-    tokens = kept.select("text", "node").mapInPandas(send, "token long, node long, n int")
+            for part in slices(list(batch["text"]), SLICE):
+                rows = [(h, s) for s in _sets(list(batch["text"][part.start: part.stop]), size) if len(s) and not seen(h := set_hash(s))]
+                if rows:
+                    yield pd.DataFrame({"node": [h for h, _ in rows], "n": [len(s) for _, s in rows], "tokens": [s for _, s in rows]})
+
+    # One Python step here, so that a task keeps one Python worker; its sets are only kept where they may link.
+    named = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(send, "node long, n int, tokens array<long>")
+    tokens = named.join(_sized_broadcast(some), "node").select(F.explode("tokens").alias("token"), "node", "n")
     counted = tokens.repartition("token").sortWithinPartitions("token", "node").mapInPandas(
         partial(_classes, columns=["token", "node", "n"], rare=RARE), "token long, node long, n int, df int")
     sets = counted.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))

@@ -33,7 +33,7 @@ BUCKETS = 1 << 13
 PER_LANGUAGE = 300
 MOST_LANGUAGES = 256
 #: Characters that are held as numbers at a time.
-BLOCK = 500_000
+BLOCK = 200_000
 #: Share of the winner's probability the runner-up must reach to be called ambiguous.
 AMBIGUOUS = 0.8
 
