@@ -64,13 +64,28 @@ def character_hash(c) -> Column:
     )
 
 
-def _registry(field: int, prompt_id: Column) -> Column:
+def _by_prompt(values: list, prompt_id: Column) -> Column:
     pairs = []
-    for row in PROMPT_REGISTRY:
-        pairs += [F.lit(row[0]), F.lit(row[field])]
+    for row, value in zip(PROMPT_REGISTRY, values, strict=True):
+        pairs += [F.lit(row[0]), F.lit(value)]
     return F.try_element_at(F.create_map(*pairs), prompt_id)
 
 
+def _registry(field: int, prompt_id: Column) -> Column:
+    return _by_prompt([row[field] for row in PROMPT_REGISTRY], prompt_id)
+
+
+def _fixed_stamp(text: str) -> str:
+    """``prompt_hash`` of a registry entry (ASCII), known when the plan is made."""
+    h, digits = _OFFSET, ""
+    for c in text:
+        h = (h ^ ord(c)) * _PRIME % _WORD
+    while h or not digits:
+        h, digit = divmod(h, 36)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[digit] + digits
+    return digits
+
+
 def known_prompt(prompt_id) -> Column:
     """The prompt id, or ``unknown`` when the registry lacks it."""
     c = col(prompt_id)
@@ -86,11 +101,8 @@ def release_tag(prompt_id) -> Column:
 
 
 def prompt_stamp(prompt_id) -> Column:
-    """Hash of ``id:version:release tag``."""
-    known = known_prompt(prompt_id)
-    return prompt_hash(
-        F.concat_ws(":", known, prompt_version(prompt_id).cast("string"), release_tag(prompt_id))
-    )
+    """Hash of ``id:version:release tag``; there is one per registry entry."""
+    return _by_prompt([_fixed_stamp(f"{i}:{v}:{tag}") for i, v, tag in PROMPT_REGISTRY], known_prompt(prompt_id))
 
 
 def request_hash(request) -> Column:

@@ -7,7 +7,7 @@ skips empty text and zero. The second kind is spelled out here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,11 @@ def first_number(*cols) -> Column:
     return F.coalesce(*[F.nullif(col(c), F.lit(0)) for c in cols])
 
 
+def optional(df: DataFrame, name: str) -> Column:
+    """A text field of the table, null where the table lacks it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def is_true(c) -> Column:
     """True only for an explicit true; null counts as false."""
     return F.coalesce(col(c), F.lit(False))

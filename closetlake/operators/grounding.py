@@ -11,6 +11,7 @@ from closetlake.operators.common import exploded, top_k
 from closetlake.operators.garments import purchase_usable
 from closetlake.schemas import conform
 
+# Fixed values of the service.
 VERDICTS = ["strong_buy", "consider", "duplicate"]
 MATCH_THRESHOLD = 65
 MATCH_LIMIT = 6
@@ -20,6 +21,8 @@ RESULT_SCHEMA = """verdict string, summary string,
     similarityMatches array<struct<wardrobeItemId string, score string, reason string>>,
     outfitExamples array<struct<itemIds array<string>, explanation string>>, reasons array<string>"""
 
+OUTFIT_SCHEMA = "wardrobeItemIds array<string>"
+
 # Lengths that text and list fields are cut to.
 _TEXT = {
     "title": 100, "category": 50, "sub_category": 50, "category_role": 40, "layer_role": 30,
@@ -85,13 +88,51 @@ def sanitized_profiles(users: DataFrame) -> DataFrame:
     )
 
 
-def parsed_results(results: DataFrame) -> DataFrame:
-    """Model output parsed after its fences are removed; ``parsed`` tells whether it is JSON."""
+def _parsed(results: DataFrame, schema: str, keep: list) -> DataFrame:
+    """Model output parsed after its fences are removed; ``parsed`` tells whether it is JSON.
+
+    The parse stands in a list of one entry that is exploded, so a plan does not
+    repeat it for each field. Only text that does not fit the schema is looked
+    at again: JSON with fields of other types counts, and what fits is kept.
+    """
     body = strip_code_fences("raw")
-    return results.select(
-        "user_id", "result_id", F.try_parse_json(body).isNotNull().alias("parsed"),
-        F.from_json(body, RESULT_SCHEMA).alias("r"),
+    read = F.from_json(body, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = results.select(*keep, "raw", F.inline_outer(F.array(F.struct(read.alias("r")))))
+    valid = F.col("r").isNotNull() & (F.col("r._bad").isNull() | F.try_parse_json(body).isNotNull())
+    names = [c for c in rows.columns if c not in ("raw", "r")]
+    return rows.select(*names, F.coalesce(valid, F.lit(False)).alias("parsed"), "r")
+
+
+def parsed_results(results: DataFrame) -> DataFrame:
+    """Purchase checks of the model (user_id, result_id, raw), parsed."""
+    return _parsed(results, RESULT_SCHEMA, ["user_id", "result_id"])
+
+
+def parsed_outfits(results: DataFrame) -> DataFrame:
+    """Outfits of the model (user_id, result_id, anchor_item_id, raw), parsed."""
+    return _parsed(results, OUTFIT_SCHEMA, ["user_id", "result_id", clean("anchor_item_id").alias("anchor_item_id")])
+
+
+def outfit_pieces(parsed: DataFrame, items: DataFrame) -> DataFrame:
+    """Known pieces of each outfit, each once at its first place; ``items`` are the garments the model was shown."""
+    keys = ["user_id", "result_id", "anchor_item_id"]
+    named = exploded(parsed, keys, "r.wardrobeItemIds", "pos", "item_id")
+    once = named.groupBy(*keys, "item_id").agg(F.min("pos").alias("pos"))
+    return _owned(once, items).select(
+        "user_id", "result_id", "pos", "item_id", (F.col("item_id") == F.col("anchor_item_id")).alias("is_anchor"))
+
+
+def outfit_verdicts(parsed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """How many pieces each outfit keeps, and why it is rejected (null: it is not)."""
+    counted = pieces.groupBy("user_id", "result_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.bool_or("is_anchor").alias("has_anchor"))
+    n = F.coalesce("pieces", F.lit(0))
+    reason = (
+        F.when(~F.col("parsed"), "not JSON").when(n == 0, "no usable garments")
+        .when((F.col("anchor_item_id") != "") & ~F.col("has_anchor"), "selected garment not kept")
     )
+    return parsed.join(counted, ["user_id", "result_id"], "left").select(
+        "user_id", "result_id", n.alias("pieces"), reason.alias("reject_reason"))
 
 
 def _score(c: Column) -> Column:
@@ -121,15 +162,16 @@ def grounded_examples(parsed: DataFrame, items: DataFrame) -> DataFrame:
     ``items`` are the garments the model was shown.
     """
     examples = exploded(parsed, ["user_id", "result_id"], "r.outfitExamples", "example", "x")
-    pieces = exploded(examples, ["user_id", "result_id", "example"], "x.itemIds", "pos", "item_id")
-    once = pieces.groupBy("user_id", "result_id", "example", "item_id").agg(F.min("pos").alias("pos"))
+    keys = ["user_id", "result_id", "example"]
+    pieces = exploded(examples, [*keys, clean("x.explanation", 180).alias("explanation")], "x.itemIds", "pos", "item_id")
+    once = pieces.groupBy(*keys, "explanation", "item_id").agg(F.min("pos").alias("pos"))
     owned = _owned(once, items)
     # Back to one row per example: no more entries than its list had in its document.
-    whole = owned.groupBy("user_id", "result_id", "example").agg(
+    whole = owned.groupBy(*keys, "explanation").agg(
         F.sort_array(F.collect_list(F.struct("pos", "item_id"))).alias("pieces")
     ).filter(F.size("pieces") >= 2)
     kept = top_k(whole, ["user_id", "result_id"], [F.col("example")], EXAMPLE_LIMIT, "example_no")
-    return kept.select("user_id", "result_id", "example_no", F.inline("pieces"))
+    return kept.select("user_id", "result_id", "example_no", "explanation", F.inline("pieces"))
 
 
 def sanitized_results(parsed: DataFrame, examples: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.calendar import leading_blanks, month_days, month_start
-from closetlake.functions.values import as_date, exact_sum, is_true, points
+from closetlake.functions.values import as_date, exact_sum, first_text, is_true, optional, points
 from closetlake.operators.common import first_per_key, left_all, top_k, zero_filled
 from closetlake.operators.garments import in_lookbook
+from closetlake.operators.looks import record_previews
 
 HISTORY_LIMIT = 30
 DAY_THUMBNAILS = 2
+CARD_PIECES = 4
+HOME_PIECES = 3
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -146,3 +149,40 @@ def day_thumbnails(wear: DataFrame, wear_items: DataFrame, items: DataFrame, mon
     return two.join(items.select("user_id", "item_id", "title"), ["user_id", "item_id"]).select(
         "user_id", F.col("wear_date").alias("day"), "thumb_no", "item_id", "title"
     )
+
+
+def selected_day_cards(
+    selected: DataFrame, wear: DataFrame, wear_items: DataFrame, look_items: DataFrame, items: DataFrame, as_of
+) -> DataFrame:
+    """A card for each wear record of the day its user has selected (``selected``: user_id, wear_date).
+
+    ``preview`` holds the first four owned pieces, null when none is owned.
+    """
+    days = selected.select("user_id", "wear_date").distinct()
+    records = wear.join(days, ["user_id", "wear_date"], "left_semi")
+    status = F.coalesce(first_text("status"), F.lit("planned"))
+    cards = records.select(
+        "user_id", "record_id", "wear_date", status.alias("status"),
+        F.coalesce(first_text(optional(wear, "outfit_title"), optional(wear, "occasion")), F.lit("Planned look")).alias("title"),
+        F.coalesce(first_text(optional(wear, "occasion")), F.lit("General")).alias("occasion"),
+        optional(wear, "notes").alias("notes"),
+        ((status != "worn") & (F.col("wear_date") <= as_date(as_of))).alias("can_mark_worn"),
+    )
+    previews = record_previews(records, wear_items, look_items, items, CARD_PIECES)
+    return cards.join(previews, ["user_id", "record_id"], "left")
+
+
+def today_cards(users: DataFrame, today: DataFrame, today_items: DataFrame, look_items: DataFrame, items: DataFrame) -> DataFrame:
+    """Title and first three owned pieces of each user's outfit of the day.
+
+    ``today`` holds at most one row per user (user_id, outfit_id and titles) and
+    ``today_items`` its own pieces (user_id, pos, item_id).
+    """
+    one = F.lit("today").alias("record_id")
+    previews = record_previews(
+        today.select("user_id", "outfit_id", one), today_items.select("user_id", "pos", "item_id", one), look_items, items,
+        HOME_PIECES,
+    ).drop("record_id")
+    titled = today.select("user_id", first_text(optional(today, "outfit_title"), optional(today, "title")).alias("title"))
+    joined = left_all(users.select("user_id"), [titled, previews])
+    return joined.withColumn("title", F.coalesce("title", F.lit("No cached outfit for today")))

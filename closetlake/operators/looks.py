@@ -45,6 +45,24 @@ def resolved_ids(records: DataFrame, record_items: DataFrame, look_items: DataFr
     return own.unionByName(borrowed)
 
 
+def record_previews(
+    records: DataFrame, record_items: DataFrame, look_items: DataFrame, items: DataFrame, count: int = 4
+) -> DataFrame:
+    """The first ``count`` owned pieces of each record (user_id, record_id, outfit_id), as ``preview``.
+
+    Pieces are the record's own, else those of its saved look. A record with
+    none that is owned has no row.
+    """
+    keys = records.select("user_id", "record_id", "outfit_id")
+    own = record_items.join(keys.select("user_id", "record_id"), ["user_id", "record_id"], "left_semi")
+    owned = resolved_ids(keys, own, look_items).join(items.select("user_id", "item_id", "title"), ["user_id", "item_id"])
+    first = top_k(owned, ["user_id", "record_id"], [F.col("pos"), F.col("item_id")], count, "thumb_no")
+    # At most ``count`` entries a record reach this list.
+    return first.groupBy("user_id", "record_id").agg(
+        F.sort_array(F.collect_list(F.struct("thumb_no", "item_id", "title"))).alias("preview")
+    )
+
+
 def look_cards(looks: DataFrame, look_items: DataFrame, items: DataFrame) -> DataFrame:
     """Every look with its source label and how many of its pieces are owned."""
     owned = (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from closetlake.functions.values import as_date, points
+from closetlake.functions.values import as_date, first_text, optional, points, text
 from closetlake.operators.common import left_all, zero_filled
+from closetlake.operators.looks import record_previews
 
 # Badge, figure it looks at, goal.
 BADGES = [
@@ -18,6 +19,7 @@ BADGES = [
     ("Quest Legend", "quests", 25),
 ]
 ELIGIBLE_GARMENTS = 10
+HISTORY_PIECES = 4
 
 
 def _islands(quests: DataFrame) -> DataFrame:
@@ -71,6 +73,24 @@ def badges(summary: DataFrame) -> DataFrame:
     return summary.select("user_id", F.inline(rows))
 
 
+def quest_history(quests: DataFrame, quest_items: DataFrame, look_items: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each quest done, with title, occasion, score, points and its first four owned pieces.
+
+    ``created_at`` and ``submission_id`` order a user's rows, newest first; a user
+    may have any number, so they are not numbered here.
+    """
+    title = F.coalesce(first_text(optional(quests, "challenge_title"), optional(quests, "snapshot_title")), F.lit("Closet Quest"))
+    rows = quests.select(
+        "user_id", "submission_id", "created_at", "challenge_date", title.alias("title"),
+        text(optional(quests, "snapshot_occasion")).alias("occasion"), F.coalesce("score_total", F.lit(0)).alias("score"),
+        F.coalesce("points_earned", F.lit(0)).alias("points"),
+    )
+    records = quests.select("user_id", F.col("submission_id").alias("record_id"), "outfit_id")
+    pieces = quest_items.withColumnRenamed("submission_id", "record_id")
+    previews = record_previews(records, pieces, look_items, items, HISTORY_PIECES).withColumnRenamed("record_id", "submission_id")
+    return rows.join(previews, ["user_id", "submission_id"], "left")
+
+
 def week_activity(quests: DataFrame, as_of) -> DataFrame:
     """The last seven days of each player and whether a quest was done."""
     today = as_date(as_of)

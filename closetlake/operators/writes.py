@@ -205,6 +205,25 @@ def call_log_rows(calls: DataFrame) -> DataFrame:
     )
 
 
+def reviewed_deletions(requests: DataFrame, reviews: DataFrame, now) -> DataFrame:
+    """Deletion requests after review (``user_id``, ``seq``, ``action``, ``uploads_deleted``).
+
+    The first review that can take effect decides a pending request; decided ones
+    stay. Approval takes effect only when the user's uploads are gone.
+    """
+    approved = (F.col("action") == "approve") & is_true("uploads_deleted")
+    decided = F.when(approved, "approved").when(F.col("action") == "reject", "rejected")
+    valid = reviews.withColumn("_decided", decided).filter(F.col("_decided").isNotNull())
+    first = valid.groupBy("user_id").agg(F.min(F.struct("seq", "_decided")).alias("_first"))
+    joined = requests.join(first, "user_id", "left")
+    change = (F.col("status") == "pending") & F.col("_first").isNotNull()
+    before = F.col("reviewed_at") if "reviewed_at" in requests.columns else F.lit(None).cast("timestamp")
+    return (
+        joined.withColumn("reviewed_at", F.when(change, as_instant(now)).otherwise(before))
+        .withColumn("status", F.when(change, F.col("_first._decided")).otherwise(F.col("status"))).drop("_first")
+    )
+
+
 def without_deleted_users(tables: dict[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:
     """Every owner table without the rows of users whose deletion was approved."""
     gone = requests.filter(F.col("status") == "approved").select("user_id").distinct()

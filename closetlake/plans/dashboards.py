@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from closetlake.functions.taxonomy import with_taxonomy
+from closetlake.functions.values import as_date
 from closetlake.operators import accounts, activity, garments, insights, looks, platform, purchase, quests, report
 
 
 @dataclass
 class Tables:
-    """The tables of the service; pieces of looks and wear records in long form."""
+    """The tables of the service; pieces of looks, wear records, quests and outfits of the day in long form.
+
+    Panels of tables that are not given are left out.
+    """
 
     users: DataFrame
     items: DataFrame
@@ -25,6 +29,9 @@ class Tables:
     responses: DataFrame
     history: DataFrame
     logs: DataFrame
+    quest_items: DataFrame | None = None
+    today: DataFrame | None = None
+    today_items: DataFrame | None = None
 
     def tagged(self) -> Tables:
         """With category and slot computed once for all panels."""
@@ -36,14 +43,22 @@ class Tables:
         return replace(self, items=self.items.persist(level), wear=self.wear.persist(level))
 
     def release(self) -> None:
-        for f in fields(self):
-            getattr(self, f.name).unpersist()
+        """Let go of what ``cached`` keeps; other tables are the caller's."""
+        for table in (self.items, self.wear):
+            table.unpersist()
 
 
 def user_dashboard(t: Tables, as_of) -> dict[str, DataFrame]:
     """Every panel of the user's dashboard, for all users."""
     summary = quests.quest_summary(t.users, t.quests, as_of)
-    return {
+    given = {}
+    if t.quest_items is not None:
+        given["quest_history"] = quests.quest_history(t.quests, t.quest_items, t.look_items, t.items)
+    if t.today is not None and t.today_items is not None:
+        given["today"] = insights.today_cards(t.users, t.today, t.today_items, t.look_items, t.items)
+    today = t.users.select("user_id", as_date(as_of).alias("wear_date"))
+    return given | {
+        "day_cards": insights.selected_day_cards(today, t.wear, t.wear_items, t.look_items, t.items, as_of),
         "home_stats": insights.home_stats(t.users, t.items, t.looks, t.wear, t.quests, as_of),
         "home_cards": insights.home_cards(t.users, t.items, t.wear, t.history, as_of),
         "recent_garments": garments.recent_garments(t.items),

@@ -32,10 +32,12 @@ _DDL = {
     "looks": """user_id string, look_id string, occasion string, title string, subtitle string, score int,
         item_ids array<string>, lookbook boolean, source string, created_at timestamp""",
     "wear": """user_id string, record_id string, outfit_id string, wear_date date, status string,
-        occasion string, notes string, item_ids array<string>, source string, worn_at timestamp,
+        occasion string, outfit_title string, notes string, item_ids array<string>, source string, worn_at timestamp,
         created_at timestamp""",
     "quests": """user_id string, submission_id string, challenge_date date, challenge_title string,
-        score_total int, points_earned int, item_ids array<string>, created_at timestamp""",
+        score_total int, points_earned int, item_ids array<string>, outfit_id string, snapshot_title string,
+        snapshot_occasion string, created_at timestamp""",
+    "today": "user_id string, outfit_id string, outfit_title string, title string, item_ids array<string>",
     "ai_responses": "user_id string, id string, feature string, type string, ts timestamp, created_at timestamp",
     "outfit_history": "user_id string, id string, feature string, type string, ts timestamp, created_at timestamp",
     "api_logs": """log_id string, user_id string, provider string, model string, type string,
@@ -43,7 +45,7 @@ _DDL = {
         duration_ms double, latency_ms double, error_message string, ts timestamp""",
     "coupons": """code string, plan string, days int, active boolean, redeemed_count int,
         max_redemptions int, expires_at timestamp, campaign_label string, created_at timestamp""",
-    "deletion_requests": "user_id string, status string, requested_at timestamp",
+    "deletion_requests": "user_id string, status string, requested_at timestamp, reviewed_at timestamp",
     "campaigns": """id string, title string, body string, status string, channel string,
         image_url string, audience string, destination string, festival_campaign_id string,
         payload struct<title string, body string, image_url string, channel string, route string>,

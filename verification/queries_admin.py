@@ -9,6 +9,7 @@ from closetlake.functions.hashing import cache_key, character_hash, known_prompt
 from closetlake.functions.hashing import PROMPT_REGISTRY
 from closetlake.functions.text import event_detail, pretty_label
 from closetlake.operators import accounts, activity, platform
+from closetlake.sources.collections import owned_by
 from verification.registry import NOW, query
 
 N = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -145,6 +146,12 @@ def _(t):
     return t.v_items.join(owners, "user_id", "left_semi").select("user_id", "item_id")
 
 
+@query("owner_garments", "A3", "SELECT user_id, item_id FROM {v_items} WHERE user_id = 7")
+def _(t):
+    """The garments of one owner, which is all the operator reads."""
+    return owned_by(t.v_items, 7).select("user_id", "item_id")
+
+
 @query("pending_deletions", "B12,C3,F13", f"""
 SELECT d.user_id, d.requested_day AS requested_at, {NAME.format(d="'Unknown user'")} AS name,
   coalesce(nullif(u.email, ''), CAST(d.user_id AS VARCHAR)) AS contact
@@ -190,9 +197,12 @@ def _(t):
 
 
 @query("activity_registered", "C6", f"""
-WITH {FEED} SELECT event_id FROM timed WHERE user_id IN (SELECT CAST(user_id AS VARCHAR) FROM {{v_deletions}})""")
+WITH {FEED} SELECT event_id FROM timed WHERE user_id IN (SELECT CAST(user_id AS VARCHAR) FROM {{v_accounts}})""")
 def _(t):
-    return activity.registered_only(feed(t), t.v_deletions).select("event_id")
+    """The feed with as many events of accounts that are gone."""
+    known = feed(t)
+    gone = known.withColumns({c: F.concat(F.lit("gone:"), c) for c in ("user_id", "event_id")})
+    return activity.registered_only(known.unionByName(gone), t.v_accounts).select("event_id")
 
 
 @query("activity_summary", "D6", f"""

@@ -1,11 +1,13 @@
 """Garment taxonomy, search, listings and the purchase check."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.functions.search import SYNONYM_GROUPS, matches, with_search_text
+from closetlake.functions.search import SYNONYM_GROUPS, with_search_text
 from closetlake.functions.taxonomy import CATEGORY_PATTERNS, SLOT_PATTERNS, with_taxonomy
 from closetlake.operators import garments, purchase
-from closetlake.operators.common import exploded
 from closetlake.operators.report import report_eligible
 from verification.registry import query
 
@@ -82,15 +84,12 @@ SELECT 'all' AS shown, user_id, item_id FROM found WHERE {has_sql(['shoes'])}
 UNION ALL SELECT 'favorite', user_id, item_id FROM found WHERE favorite AND {has_sql(['tee', 'red'])}
 UNION ALL SELECT 'clean', user_id, item_id FROM found WHERE laundry_status = 'Clean' AND {has_sql(['coats', 'brand2'])}""")
 def _(t):
-    clean = F.col("laundry_status") == "Clean"
-    tests = [
-        F.when(matches("search_text", "shoes"), "all"),
-        F.when(F.col("favorite") & matches("search_text", " Tee  RED"), "favorite"),
-        F.when(clean & matches("search_text", "coats Brand#2"), "clean"),
+    wanted = {"all": "shoes", "favorite": " Tee  RED", "clean": "coats Brand#2"}
+    found = [
+        garments.search_garments(t.v_garments, words, view).select(F.lit(view).alias("shown"), "user_id", "item_id")
+        for view, words in wanted.items()
     ]
-    found = with_search_text(t.v_garments)
-    rows = exploded(found, ["user_id", "item_id"], F.array_compact(F.array(*tests)), "_n", "shown")
-    return rows.drop("_n")
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("lookbook_garments", "B2", """
@@ -118,11 +117,17 @@ def _(t):
     return t.v_items.filter(garments.purchase_usable()).select("user_id", "item_id")
 
 
-@query("owner_capped_read", "A4", """
-SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS n FROM {v_items})
+# Closets shared by all customers of a nation, so that owners have more garments than one read returns.
+SHARED = """
+SELECT c.c_nationkey AS user_id, i.user_id * 1000000000 + i.item_id AS item_id
+FROM {v_items} i JOIN {customer} c ON c.c_custkey = i.user_id"""
+
+
+@query("owner_capped_read", "A4", f"""
+SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS n FROM ({SHARED}))
 WHERE n <= 150""")
 def _(t):
-    return garments.owner_read(t.v_items).select("user_id", "item_id")
+    return garments.owner_read(t.sql(SHARED)).select("user_id", "item_id")
 
 
 @query("recent_garments", "F1,F3", """
@@ -139,14 +144,34 @@ SELECT user_id, item_id, title, purchase_price, created_at, coalesce(times_worn,
        CASE WHEN times_worn > 0 THEN purchase_price / times_worn END AS cost_per_wear
 FROM {v_items} WHERE purchase_price > 0""")
 def _(t):
-    return garments.cost_per_wear_list(t.v_items).orderBy(
-        "user_id", "sort_cost", F.desc_nulls_last("created_at"), "item_id"
-    )
+    return garments.cost_per_wear_list(t.v_items)
+
+
+DETAILED = """
+SELECT g.*, split(CASE item_id % 3 WHEN 0 THEN 'red blue' WHEN 1 THEN '' END, ' ') AS secondary_colors,
+  CASE WHEN item_id % 2 = 0 THEN 'Slim' END AS fit, CASE WHEN item_id % 5 <> 0 THEN 'Half' END AS sleeve_type,
+  CASE WHEN item_id % 5 = 1 THEN 'Round' END AS neckline, split(CASE WHEN item_id % 4 = 0 THEN 'summer winter' END, ' ') AS season,
+  split(CASE WHEN item_id % 7 = 0 THEN 'office' END, ' ') AS user_occasions, split(CASE WHEN item_id % 2 = 1 THEN 'party' END, ' ') AS occasion,
+  CASE WHEN item_id % 6 = 0 THEN 'Casual' END AS formality, CASE WHEN item_id % 3 = 1 THEN 2020 END AS purchase_year,
+  CASE item_id % 4 WHEN 0 THEN 4.0 WHEN 1 THEN 3.5 WHEN 2 THEN 0.0 END AS rating,
+  CASE item_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bg_removed
+FROM {v_garments} g"""
 
 
 @query("garment_detail_rows", "B17,H15", """
 SELECT * FROM (
-  SELECT user_id, item_id, 'Category' AS label, category AS value FROM {v_garments}
+  SELECT user_id, item_id, 'Secondary colors' AS label, CASE WHEN item_id % 3 = 0 THEN 'Red, Blue' END AS value FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Fit', CASE WHEN item_id % 2 = 0 THEN 'Slim' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Sleeves', CASE WHEN item_id % 5 <> 0 THEN 'Half' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Neckline', CASE WHEN item_id % 5 = 1 THEN 'Round' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Season', CASE WHEN item_id % 4 = 0 THEN 'Summer, Winter' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Occasions', CASE WHEN item_id % 7 = 0 THEN 'Office' WHEN item_id % 2 = 1 THEN 'Party' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Formality', CASE WHEN item_id % 6 = 0 THEN 'Casual' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Purchase year', CASE WHEN item_id % 3 = 1 THEN '2020' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Rating', CASE item_id % 4 WHEN 0 THEN '4/5' WHEN 1 THEN '3.5/5' END FROM {v_garments}
+  UNION ALL SELECT user_id, item_id, 'Background prepared', CASE item_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END FROM {v_garments}
+  UNION ALL
+  SELECT user_id, item_id, 'Category', category FROM {v_garments}
   UNION ALL SELECT user_id, item_id, 'Subcategory', sub_category FROM {v_garments}
   UNION ALL SELECT user_id, item_id, 'Brand', brand FROM {v_garments}
   UNION ALL SELECT user_id, item_id, 'Primary color', primary_color FROM {v_garments}
@@ -161,7 +186,7 @@ SELECT * FROM (
       lambda w: upper(w[1]) || w[2:]), ', ') FROM {v_garments})
 WHERE value <> ''""")
 def _(t):
-    return garments.detail_rows(t.v_garments)
+    return garments.detail_rows(t.sql(DETAILED))
 
 
 @query("category_totals", "M1", f"""
@@ -172,10 +197,16 @@ def _(t):
 
 @query("attribute_filters", "M2", f"""
 WITH {TAXONOMY} SELECT user_id, item_id FROM tax
-WHERE primary_color = 'red' AND norm_category = 'Top' AND laundry_status = 'Clean'""")
+WHERE primary_color = 'red' AND norm_category = 'Top' AND laundry_status = 'Clean'
+UNION ALL SELECT user_id, item_id FROM tax WHERE item_id % 4 = 1 AND (item_id % 3 = 0 OR item_id % 7 = 0)""")
 def _(t):
     keep = garments.attribute_filter(color="red", category="Top", laundry="Clean")
-    return with_taxonomy(t.v_garments).filter(keep).select("user_id", "item_id")
+    tagged = with_taxonomy(t.v_garments).filter(keep).select("user_id", "item_id")
+    seasons = F.expr("split(CASE item_id % 4 WHEN 1 THEN 'Summer Autumn' WHEN 2 THEN 'Winter' END, ' ')")
+    occasions = F.expr("CASE WHEN item_id % 3 = 0 THEN array('Office', 'Party') WHEN item_id % 7 = 0 THEN array('Party') ELSE array('Home') END")
+    worn_at = t.v_garments.withColumns({"season": seasons, "occasion": occasions})
+    both = worn_at.filter(garments.attribute_filter(season="Summer", occasion="Party")).select("user_id", "item_id")
+    return tagged.unionByName(both)
 
 
 USABLE = "NOT coalesce(hidden_from_ai, false) AND coalesce(laundry_status, '') <> 'Laundry'"

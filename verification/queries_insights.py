@@ -207,3 +207,83 @@ SELECT user_id, item_id, CASE WHEN purchase_price > 0 AND times_worn > 0 THEN pu
 FROM {v_items}""")
 def _(t):
     return t.v_items.select("user_id", "item_id", cost_per_wear("purchase_price", "times_worn").alias("cost"))
+
+
+# Pieces of records, own or of the saved look, and the first owned ones of each as one text.
+PREVIEW = """pieces AS (
+  SELECT user_id, record_id, pos, item_id FROM own
+  UNION ALL
+  SELECT r.user_id, r.record_id, l.pos, l.item_id FROM records r JOIN {{v_look_items}} l ON l.user_id = r.user_id AND l.look_id = r.outfit_id
+  WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = r.user_id AND o.record_id = r.record_id)),
+previews AS (
+  SELECT user_id, record_id, string_agg(item_id || ' ' || title, '|' ORDER BY n) AS preview FROM (
+    SELECT p.user_id, p.record_id, i.item_id, i.title, row_number() OVER (PARTITION BY p.user_id, p.record_id ORDER BY p.pos, p.item_id) AS n
+    FROM pieces p JOIN records r ON r.user_id = p.user_id AND r.record_id = p.record_id
+    JOIN {{v_items}} i ON i.user_id = p.user_id AND i.item_id = p.item_id) WHERE n <= {n} GROUP BY user_id, record_id)"""
+
+
+def preview_text(rows):
+    shown = F.transform("preview", lambda x: F.concat_ws(" ", x["item_id"].cast("string"), x["title"]))
+    return rows.withColumn("preview", F.when(F.col("preview").isNotNull(), F.array_join(shown, "|")))
+
+
+DAY_WEAR = """
+SELECT user_id, record_id, outfit_id, wear_date, CASE WHEN outfit_id % 8 <> 0 THEN status END AS status,
+  CASE outfit_id % 3 WHEN 0 THEN 'Office' WHEN 1 THEN '' END AS occasion,
+  CASE WHEN outfit_id % 5 = 0 THEN 'Look ' || CAST(outfit_id AS STRING) END AS outfit_title,
+  CASE WHEN outfit_id % 4 = 0 THEN 'rainy' END AS notes
+FROM {v_wear}"""
+SELECTED = "SELECT user_id, max(wear_date) AS wear_date FROM {v_wear} GROUP BY user_id"
+
+
+@query("selected_day_cards", "C1,C2", f"""
+WITH records AS (SELECT w.* FROM ({DAY_WEAR}) w JOIN ({SELECTED}) s ON s.user_id = w.user_id AND s.wear_date = w.wear_date),
+own AS (SELECT user_id, record_id, pos, item_id FROM {{v_wear_items}}),
+{PREVIEW.format(n=4)}
+SELECT r.user_id, r.record_id, r.wear_date, coalesce(r.status, 'planned') AS status,
+  coalesce(r.outfit_title, nullif(r.occasion, ''), 'Planned look') AS title, coalesce(nullif(r.occasion, ''), 'General') AS occasion,
+  r.notes, coalesce(r.status, 'planned') <> 'worn' AND r.wear_date <= {D} AS can_mark_worn, p.preview
+FROM records r LEFT JOIN previews p USING (user_id, record_id)""")
+def _(t):
+    return preview_text(insights.selected_day_cards(
+        t.sql(SELECTED), t.sql(DAY_WEAR), t.v_wear_items, t.v_look_items, t.v_items, AS_OF))
+
+
+QUESTS = """
+SELECT q.*, CASE WHEN q.submission_id % 2 = 0 THEN l.outfit_id END AS outfit_id,
+  CASE q.submission_id % 5 WHEN 0 THEN 'Blue day' WHEN 1 THEN '' END AS challenge_title,
+  CASE WHEN q.submission_id % 3 = 0 THEN 'Layers' END AS snapshot_title,
+  CASE WHEN q.submission_id % 4 = 0 THEN 'Party' END AS snapshot_occasion
+FROM {v_quest} q LEFT JOIN (SELECT user_id, max(look_id) AS outfit_id FROM {v_looks} GROUP BY user_id) l ON l.user_id = q.user_id"""
+QUEST_ITEMS = """
+SELECT q.user_id, q.submission_id, i.item_id AS pos, i.item_id FROM {v_quest} q JOIN {v_items} i ON i.user_id = q.user_id
+WHERE q.submission_id % 3 = 0 AND i.item_id % 6 = q.submission_id % 6"""
+
+
+@query("quest_history", "D22,C2", f"""
+WITH records AS (SELECT *, submission_id AS record_id FROM ({QUESTS})),
+own AS (SELECT user_id, submission_id AS record_id, pos, item_id FROM ({QUEST_ITEMS})),
+{PREVIEW.format(n=4)}
+SELECT r.user_id, r.submission_id, r.created_at, r.challenge_date,
+  coalesce(nullif(r.challenge_title, ''), r.snapshot_title, 'Closet Quest') AS title, coalesce(r.snapshot_occasion, '') AS occasion,
+  coalesce(r.score_total, 0) AS score, coalesce(r.points_earned, 0) AS points, p.preview
+FROM records r LEFT JOIN previews p USING (user_id, record_id)""")
+def _(t):
+    return preview_text(quests.quest_history(t.sql(QUESTS), t.sql(QUEST_ITEMS), t.v_look_items, t.v_items))
+
+
+TODAY = """
+SELECT user_id, max(look_id) AS outfit_id, CASE WHEN user_id % 4 = 0 THEN 'Today ' || CAST(user_id AS STRING) END AS outfit_title,
+  CASE WHEN user_id % 4 = 1 THEN 'Cached look' WHEN user_id % 4 = 2 THEN '' END AS title
+FROM {v_looks} GROUP BY user_id"""
+TODAY_ITEMS = "SELECT user_id, 0 AS pos, min(item_id) AS item_id FROM {v_items} GROUP BY user_id HAVING min(item_id) % 2 = 0"
+
+
+@query("today_cards", "A5,D23", f"""
+WITH records AS (SELECT *, 'today' AS record_id FROM ({TODAY})),
+own AS (SELECT user_id, 'today' AS record_id, pos, item_id FROM ({TODAY_ITEMS})),
+{PREVIEW.format(n=3)}
+SELECT u.user_id, coalesce(r.outfit_title, nullif(r.title, ''), 'No cached outfit for today') AS title, p.preview
+FROM {{v_users}} u LEFT JOIN records r USING (user_id) LEFT JOIN previews p USING (user_id)""")
+def _(t):
+    return preview_text(insights.today_cards(t.v_users, t.sql(TODAY), t.sql(TODAY_ITEMS), t.v_look_items, t.v_items))

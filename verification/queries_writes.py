@@ -1,7 +1,9 @@
 """Keyed updates, sources, campaigns, grounding and page checks."""
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.taxonomy import with_taxonomy
@@ -255,10 +257,31 @@ OWNER_TABLES = ["v_users", "v_items", "v_looks", "v_look_items", "v_wear", "v_qu
 
 
 @query("deletion_cascade", "A17", " UNION ALL ".join(
-    f"SELECT '{n}' AS label, count(*) AS n FROM {{{n}}} WHERE user_id NOT IN (SELECT user_id FROM {{v_deletions}} WHERE status = 'approved')"
+    f"SELECT '{n}' AS label, user_id, count(*) AS n FROM {{{n}}} "
+    "WHERE user_id NOT IN (SELECT user_id FROM {v_deletions} WHERE status = 'approved') GROUP BY user_id"
     for n in OWNER_TABLES))
 def _(t):
-    return platform.labelled_counts(writes.without_deleted_users({n: getattr(t, n) for n in OWNER_TABLES}, t.v_deletions))
+    """The rows each remaining owner has in each table."""
+    kept = writes.without_deleted_users({n: getattr(t, n) for n in OWNER_TABLES}, t.v_deletions)
+    owners = [df.select(F.lit(n).alias("label"), "user_id") for n, df in kept.items()]
+    return reduce(DataFrame.unionByName, owners).groupBy("label", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+REVIEWS = """
+SELECT user_id, requested_day AS seq, CASE WHEN user_id % 4 = 0 THEN 'approve' WHEN user_id % 4 = 1 THEN 'later' ELSE 'reject' END AS action,
+  user_id % 8 = 0 AS uploads_deleted FROM {v_deletions}
+UNION ALL SELECT user_id, requested_day + 1, CASE WHEN user_id % 3 = 0 THEN 'approve' ELSE 'reject' END, true FROM {v_deletions}"""
+
+
+@query("deletion_reviews", "A17,B12", f"""
+WITH valid AS (SELECT user_id, CASE WHEN action = 'approve' THEN 'approved' ELSE 'rejected' END AS decided,
+    row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn
+  FROM ({REVIEWS}) WHERE action = 'reject' OR (action = 'approve' AND uploads_deleted))
+SELECT d.user_id, CASE WHEN d.status = 'pending' AND v.decided IS NOT NULL THEN v.decided ELSE d.status END AS status, d.requested_day,
+  CASE WHEN d.status = 'pending' AND v.decided IS NOT NULL THEN {N} END AS reviewed_at
+FROM {{v_deletions}} d LEFT JOIN valid v ON v.user_id = d.user_id AND v.rn = 1""")
+def _(t):
+    return writes.reviewed_deletions(t.v_deletions, t.sql(REVIEWS), NOW)
 
 
 CAMPAIGN_REQUESTS = """
@@ -360,15 +383,15 @@ def parsed(t):
     def match(item, score, reason):
         return F.struct(item.alias("wardrobeItemId"), score.cast("string").alias("score"), F.lit(reason).alias("reason"))
 
-    def example(*ids):
-        return F.struct(F.array(*ids).alias("itemIds"), F.lit("ok").alias("explanation"))
+    def example(explanation, *ids):
+        return F.struct(F.array(*ids).alias("itemIds"), F.lit(explanation).cast("string").alias("explanation"))
 
     body = F.to_json(F.struct(
         F.when(F.expr("result_id % 3 = 0"), "strong_buy").otherwise("maybe").alias("verdict"),
         F.concat(F.lit(" <i>sum</i> "), a).alias("summary"),
         F.array(match(a, F.expr("result_id % 130"), "<same>"), match(b, F.lit(80), "near"),
                 match(F.concat(F.lit("x"), a), F.lit(99), "unknown")).alias("similarityMatches"),
-        F.array(example(a, b, a), example(a), example(b, F.lit("nope"), a)).alias("outfitExamples"),
+        F.array(example(" <first> ", a, b, a), example("alone", a), example(None, b, F.lit("nope"), a)).alias("outfitExamples"),
         F.array(F.lit(" one "), F.lit("<>"), F.lit("two"), F.lit("3"), F.lit("4"), F.lit("5"), F.lit("6")).alias("reasons"),
     ))
     raw = F.when(F.expr("result_id % 11 = 0"), "no json").when(
@@ -408,10 +431,10 @@ whole AS (SELECT r.user_id, r.result_id, r.a, r.b FROM res r JOIN own x ON x.use
 
 @query("grounded_examples", "C15", f"""
 WITH {WHOLE}
-SELECT user_id, result_id, 1 AS example_no, 0 AS pos, CAST(a AS VARCHAR) AS item_id FROM whole
-UNION ALL SELECT user_id, result_id, 1, 1, CAST(b AS VARCHAR) FROM whole
-UNION ALL SELECT user_id, result_id, 2, 0, CAST(b AS VARCHAR) FROM whole
-UNION ALL SELECT user_id, result_id, 2, 2, CAST(a AS VARCHAR) FROM whole""")
+SELECT user_id, result_id, 1 AS example_no, 'first' AS explanation, 0 AS pos, CAST(a AS VARCHAR) AS item_id FROM whole
+UNION ALL SELECT user_id, result_id, 1, 'first', 1, CAST(b AS VARCHAR) FROM whole
+UNION ALL SELECT user_id, result_id, 2, '', 0, CAST(b AS VARCHAR) FROM whole
+UNION ALL SELECT user_id, result_id, 2, '', 2, CAST(a AS VARCHAR) FROM whole""")
 def _(t):
     return grounding.grounded_examples(parsed(t), shown(t))
 
@@ -428,6 +451,38 @@ def _(t):
     return rows.withColumn("reasons", F.array_join("reasons", "|"))
 
 
+def outfits(t):
+    """Outfits of the model written from the looks: with unknown ids, only unknown ids, and broken JSON."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    ids = F.when(F.expr("result_id % 5 = 0"), F.array(F.lit("nope"))).otherwise(F.array(b, F.lit("nope"), a, b))
+    body = F.to_json(F.struct(F.lit("Look").alias("title"), ids.alias("wardrobeItemIds")))
+    raw = F.when(F.expr("result_id % 11 = 0"), F.lit('{"wardrobeItemIds": [')).otherwise(F.concat(F.lit("```json\n"), body, F.lit("```")))
+    anchor = F.expr("CASE result_id % 3 WHEN 0 THEN CAST(a AS STRING) WHEN 1 THEN 'gone' ELSE '' END")
+    return grounding.parsed_outfits(t.sql(MODEL_ROWS).select("user_id", "result_id", anchor.alias("anchor_item_id"), raw.alias("raw")))
+
+
+OUTFITS = f"""res AS ({MODEL_ROWS}),
+kept AS (SELECT r.user_id, r.result_id, r.b AS item_id, 0 AS pos, r.a = r.b AS first FROM res r WHERE r.result_id % 5 <> 0 AND r.result_id % 11 <> 0
+  UNION ALL SELECT r.user_id, r.result_id, r.a, 2, true FROM res r WHERE r.result_id % 5 <> 0 AND r.result_id % 11 <> 0 AND r.a <> r.b),
+good AS (SELECT k.* FROM kept k JOIN {{v_items}} i ON i.user_id = k.user_id AND i.item_id = k.item_id)"""
+
+
+@query("grounded_outfits", "C14,H23", f"""
+WITH {OUTFITS} SELECT user_id, result_id, pos, CAST(item_id AS VARCHAR) AS item_id, first AND result_id % 3 = 0 AS is_anchor FROM good""")
+def _(t):
+    return grounding.outfit_pieces(outfits(t), t.v_items)
+
+
+@query("outfit_verdicts", "C14,H23", f"""
+WITH {OUTFITS}
+SELECT r.user_id, r.result_id, coalesce(g.n, 0) AS pieces, CASE WHEN r.result_id % 11 = 0 THEN 'not JSON'
+  WHEN coalesce(g.n, 0) = 0 THEN 'no usable garments' WHEN r.result_id % 3 = 1 OR (r.result_id % 3 = 0 AND NOT g.has_first) THEN 'selected garment not kept' END AS reject_reason
+FROM res r LEFT JOIN (SELECT user_id, result_id, count(*) AS n, bool_or(first) AS has_first FROM good GROUP BY ALL) g USING (user_id, result_id)""")
+def _(t):
+    rows = outfits(t)
+    return grounding.outfit_verdicts(rows, grounding.outfit_pieces(rows, t.v_items))
+
+
 @query("sanitized_garments", "H17,H18,H19", """
 SELECT user_id, CAST(item_id AS VARCHAR) AS item_id, title, category_role, layer_role, standalone_outfit, favorite, tags,
   sub_category, fit FROM (

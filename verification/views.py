@@ -2,9 +2,12 @@
 
 The text of each view runs in Spark and in DuckDB. ``{name}`` stands for a table
 or an earlier view. The remainders of keys in them only spread values over
-rows (for example which garment is in the laundry); every view covers its whole
-source table. Pieces whose part key divides by 17 have no garment on purpose:
-they are the dangling ids that several operators must notice.
+rows (for example which garment is in the laundry). Every view covers its whole
+source table, but for those that are one kind of rows of it: quests, shares,
+model responses and style checks are event types, one customer in five asks for
+deletion, one wear record in three has no pieces of its own, and one page in nine
+is missing from the site map. Pieces whose part key divides by 17 have no garment
+on purpose: they are the dangling ids that several operators must notice.
 """
 
 from __future__ import annotations
