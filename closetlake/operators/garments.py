@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.search import matches, with_search_text
 from closetlake.functions.text import list_text
 from closetlake.functions.values import cost_per_wear, first_text, is_true
-from closetlake.operators.common import newest_first, top_k
+from closetlake.operators.common import exploded, newest_first, top_k
 from closetlake.schemas import conform
 
 OWNER_READ_LIMIT = 150
@@ -23,13 +25,24 @@ def purchase_usable() -> Column:
     return ~is_true("hidden_from_ai") & (F.coalesce("laundry_status", F.lit("")) != "Laundry")
 
 
+def in_view(view: str) -> Column:
+    """Filter of the wardrobe: all, favorite or clean garments."""
+    clean = F.coalesce(F.col("laundry_status") == "Clean", F.lit(False))
+    return {"all": F.lit(True), "favorite": is_true("favorite"), "clean": clean}[view]
+
+
 def search_garments(items: DataFrame, query: str, view: str = "all") -> DataFrame:
     """Garments matching a search, within all, favorite or clean ones."""
-    narrowed = {
-        "all": F.lit(True), "favorite": is_true("favorite"), "clean": F.col("laundry_status") == "Clean",
-    }[view]
-    found = with_search_text(items.filter(narrowed)).filter(matches("search_text", query))
-    return found.drop("search_text")
+    return search_views(items, {view: query}).drop("shown")
+
+
+def search_views(items: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """Garments matching the search of each view, with the view as ``shown``; search texts are built once for all."""
+    wanted = reduce(Column.__or__, [in_view(view) for view in queries])
+    tests = [F.when(in_view(view) & matches("search_text", query), view) for view, query in queries.items()]
+    found = with_search_text(items.filter(wanted))
+    rows = exploded(found, ["*"], F.array_compact(F.array(*tests)), "_n", "shown")
+    return rows.drop("_n", "search_text")
 
 
 def owner_read(items: DataFrame) -> DataFrame:

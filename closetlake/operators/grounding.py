@@ -98,7 +98,8 @@ def _parsed(results: DataFrame, schema: str, keep: list) -> DataFrame:
     body = strip_code_fences("raw")
     read = F.from_json(body, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     rows = results.select(*keep, "raw", F.inline_outer(F.array(F.struct(read.alias("r")))))
-    valid = F.col("r").isNotNull() & (F.col("r._bad").isNull() | F.try_parse_json(body).isNotNull())
+    whole = F.col("r._bad").isNull() | F.try_parse_json(body).isNotNull()
+    valid = F.col("r").isNotNull() & (F.trim(body) != "null") & whole
     names = [c for c in rows.columns if c not in ("raw", "r")]
     return rows.select(*names, F.coalesce(valid, F.lit(False)).alias("parsed"), "r")
 

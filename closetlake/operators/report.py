@@ -126,11 +126,7 @@ def looks_with_neglected(look_items: DataFrame, neglected_rows: DataFrame) -> Da
 
 def suggested_look(looks: DataFrame, look_items: DataFrame, items: DataFrame, as_of) -> DataFrame:
     """The newest look with a neglected garment, else the newest look."""
-    return _suggested(looks, look_items, neglected_items(items, as_of))
-
-
-def _suggested(looks: DataFrame, look_items: DataFrame, idle: DataFrame) -> DataFrame:
-    hits = looks_with_neglected(look_items, idle).withColumn("hit", F.lit(True))
+    hits = looks_with_neglected(look_items, neglected_items(items, as_of)).withColumn("hit", F.lit(True))
     flagged = looks.select("user_id", "look_id", "created_at").join(hits, ["user_id", "look_id"], "left")
     flagged = flagged.withColumn("has_neglected", F.coalesce("hit", F.lit(False)))
     first = first_per_key(
@@ -141,38 +137,63 @@ def _suggested(looks: DataFrame, look_items: DataFrame, idle: DataFrame) -> Data
     return first.select("user_id", F.col("look_id").alias("suggested_look_id"), "has_neglected")
 
 
-def _closet_facts(items: DataFrame) -> DataFrame:
-    """Eligible garments and best value of each user in one pass over the wardrobe."""
+def _closet_facts(items: DataFrame, as_of) -> DataFrame:
+    """Eligible and neglected garments and best value of each user in one pass over the wardrobe."""
     cost = cost_per_wear("purchase_price", "times_worn")
     packed = F.struct(
         cost.alias("cost"), newest_first("created_at").alias("newest"), F.col("item_id"), F.col("title")
     )
     facts = items.filter(report_eligible()).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("total_items"), F.min(F.when(cost.isNotNull(), packed)).alias("b")
+        F.count(F.lit(1)).alias("total_items"), F.min(F.when(cost.isNotNull(), packed)).alias("b"),
+        F.count_if(neglected(as_of)).alias("idle"),
     )
     return facts.select(
         "user_id", "total_items", F.col("b.item_id").alias("best_value_id"), F.col("b.title").alias("best_value"),
         F.round("b.cost").cast("bigint").alias("best_value_cost"),
+        F.least("idle", F.lit(NEGLECT_LIMIT).cast("bigint")).alias("neglected"),
+    )
+
+
+def _week_facts(items: DataFrame, worn: DataFrame) -> DataFrame:
+    """Items worn, the most repeated one and the useful colors of each user in one pass.
+
+    Grouping sets give a row per user and one per color; of each kind the first
+    few per user are kept, so a user's list holds four colors at most.
+    """
+    eligible = items.filter(report_eligible()).select(
+        "user_id", "item_id", "title", F.nullif("primary_color", F.lit("")).alias("color"), F.lit(True).alias("eligible")
+    )
+    rows = weekly_item_wears(worn).join(eligible, ["user_id", "item_id"], "left")
+    top = F.struct(-F.col("wears"), "first_seen", "item_id", "eligible", "title")
+    sets = rows.groupingSets([["user_id"], ["user_id", "color"]], "user_id", "color").agg(
+        F.grouping("color").alias("whole"), F.count(F.lit(1)).alias("worn_items"), F.min(top).alias("top"),
+        F.sum("wears").alias("wears"), F.min("first_seen").alias("first_seen"),
+    )
+    whole = F.col("whole") == 1
+    kept = top_k(
+        sets.filter(whole | F.col("color").isNotNull()), ["user_id", "whole"],
+        [F.col("wears").desc(), F.col("first_seen")], COLOR_LIMIT,
+    )
+    facts = kept.groupBy("user_id").agg(
+        F.max(F.when(whole, F.col("worn_items"))).alias("worn_items"), F.max(F.when(whole, F.col("top"))).alias("top"),
+        F.sort_array(F.collect_list(F.when(~whole, F.struct("rank", "color")))).alias("c"),
+    )
+    shown = F.when(F.size("c") > 0, F.array_join(F.transform("c", lambda x: x["color"]), ", "))
+    return facts.select(
+        "user_id", "worn_items", F.when(F.col("top.eligible"), F.col("top.item_id")).alias("most_repeated_id"),
+        F.col("top.title").alias("most_repeated"), shown.alias("colors"),
     )
 
 
 def weekly_report(users, items, wear, wear_items, looks, look_items, as_of) -> DataFrame:
     """All parts of the report, one row per user."""
-    worn = weekly_worn_items(wear, wear_items, as_of)
     days = wear.filter(worn_in_week(as_of)).groupBy("user_id").agg(
         F.count_distinct("wear_date").alias("outfit_days")
     )
-    worn_count = worn.groupBy("user_id").agg(F.count_distinct("item_id").alias("worn_items"))
-    idle = neglected_items(items, as_of)
-    clean = idle.groupBy("user_id").agg(F.count(F.lit(1)).alias("neglected"))
-    # At most four colors a user reach this list.
-    colors = useful_colors(items, worn).groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "primary_color"))).alias("c")
-    ).select("user_id", F.array_join(F.transform("c", lambda x: x["primary_color"]), ", ").alias("colors"))
     joined = left_all(
         users.select("user_id"),
-        [_closet_facts(items), days, worn_count, most_repeated(items, worn), clean, colors,
-         _suggested(looks, look_items, idle)],
+        [_closet_facts(items, as_of), days, _week_facts(items, weekly_worn_items(wear, wear_items, as_of)),
+         suggested_look(looks, look_items, items, as_of)],
     )
     today = as_date(as_of)
     return (

@@ -243,6 +243,74 @@ def test_model_output_is_bounded_and_grounded(spark):
     assert (row[0]["possible_outfits"], row[0]["compatible_pieces"]) == (12, 13)
 
 
+@pytest.mark.parametrize("raw,parsed,ids", [
+    ('{"wardrobeItemIds": ["b", "x", "a", "b"]}', True, ["b", "a"]), ('```json\n{"wardrobeItemIds": ["a"]}\n```', True, ["a"]),
+    ('{"wardrobeItemIds": "a", "title": 3}', True, []), ('{"wardrobeItemIds": ["a"', False, []),
+    ("null", False, []), ("", False, []), (None, False, []),
+])
+def test_outfit_grounding(spark, raw, parsed, ids):
+    items = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "x")], "user_id string, item_id string")
+    df = spark.createDataFrame([("u", "r", "b", raw)], "user_id string, result_id string, anchor_item_id string, raw string")
+    rows = grounding.parsed_outfits(df)
+    pieces = grounding.outfit_pieces(rows, items)
+    assert [r["item_id"] for r in pieces.orderBy("pos").collect()] == ids
+    reason = "not JSON" if not parsed else "no usable garments" if not ids else None if "b" in ids else "selected garment not kept"
+    found = grounding.outfit_verdicts(rows, pieces).first()
+    assert (found["pieces"], found["reject_reason"]) == (len(ids), reason)
+
+
+def test_previews_of_own_and_saved_pieces(spark):
+    records = spark.createDataFrame([("u", "1", "L"), ("u", "2", "L"), ("u", "3", None)], "user_id string, record_id string, outfit_id string")
+    own = spark.createDataFrame([("u", "1", n, f"i{n}") for n in range(6)], "user_id string, record_id string, pos int, item_id string")
+    saved = spark.createDataFrame([("u", "L", 0, "gone"), ("u", "L", 1, "i5")], "user_id string, look_id string, pos int, item_id string")
+    items = spark.createDataFrame([("u", f"i{n}", f"t{n}") for n in range(1, 7)], "user_id string, item_id string, title string")
+    shown = {r["record_id"]: [p["item_id"] for p in r["preview"]] for r in looks.record_previews(records, own, saved, items).collect()}
+    assert shown == {"1": ["i1", "i2", "i3", "i4"], "2": ["i5"]}
+
+
+def test_today_without_an_outfit(spark):
+    users = spark.createDataFrame([("u",), ("v",)], "user_id string")
+    today = spark.createDataFrame([("u", None, "", "Saved")], "user_id string, outfit_id string, outfit_title string, title string")
+    none = spark.createDataFrame([], "user_id string, pos int, item_id string")
+    saved = spark.createDataFrame([], "user_id string, look_id string, pos int, item_id string")
+    items = spark.createDataFrame([], "user_id string, item_id string, title string")
+    rows = {r["user_id"]: (r["title"], r["preview"]) for r in insights.today_cards(users, today, none, saved, items).collect()}
+    assert rows == {"u": ("Saved", None), "v": ("No cached outfit for today", None)}
+
+
+def test_request_reviews(spark):
+    requests = spark.createDataFrame([("a", "pending"), ("b", "pending"), ("c", "approved"), ("d", "pending")], "user_id string, status string")
+    reviews = spark.createDataFrame(
+        [("a", 1, "approve", False), ("a", 2, "reject", False), ("b", 1, "approve", True), ("c", 1, "reject", True), ("d", 1, "wait", True)],
+        "user_id string, seq int, action string, uploads_deleted boolean")
+    now = datetime(2026, 8, 5)
+    after = writes.reviewed_deletions(requests, reviews, now)
+    assert dict(after.select("user_id", "status").collect()) == {"a": "rejected", "b": "approved", "c": "approved", "d": "pending"}
+    assert {r["user_id"] for r in after.collect() if r["reviewed_at"]} == {"a", "b"}
+    again = writes.reviewed_deletions(after, reviews, datetime(2026, 9, 1))
+    assert sorted(again.collect()) == sorted(after.select(*again.columns).collect())
+
+
+def test_week_of_an_untitled_garment(spark):
+    """A garment without a title or color still is the most repeated one; colors come from others."""
+    d = date(2026, 8, 5)
+    users = spark.createDataFrame([("u",), ("w",)], "user_id string")
+    items = spark.createDataFrame(
+        [("u", "i1", None, None, "Clean"), ("u", "i2", "two", "red", "Clean"), ("u", "i3", "three", "", "Laundry")],
+        "user_id string, item_id string, title string, primary_color string, laundry_status string"
+    ).selectExpr("*", "CAST(NULL AS STRING) AS type", "false AS hidden_from_ai", "CAST(NULL AS DOUBLE) AS purchase_price",
+                 "CAST(NULL AS INT) AS times_worn", "CAST(NULL AS DATE) AS last_worn", "CAST(NULL AS TIMESTAMP) AS created_at")
+    wear = spark.createDataFrame([("u", "1", d, "worn"), ("u", "2", d, "worn")], "user_id string, record_id string, wear_date date, status string")
+    pieces = spark.createDataFrame([("u", "1", 0, "i2"), ("u", "1", 1, "i1"), ("u", "2", 0, "i1"), ("u", "2", 1, "i3"), ("u", "2", 2, "gone")],
+                                   "user_id string, record_id string, pos int, item_id string")
+    saved = spark.createDataFrame([], "user_id string, look_id string, created_at timestamp")
+    look_items = spark.createDataFrame([], "user_id string, look_id string, pos int, item_id string")
+    rows = {r["user_id"]: r for r in report.weekly_report(users, items, wear, pieces, saved, look_items, d).collect()}
+    assert (rows["u"]["most_repeated_id"], rows["u"]["most_repeated"], rows["u"]["colors"]) == ("i1", None, "red")
+    assert (rows["u"]["worn_items"], rows["u"]["neglected"], rows["u"]["usage_percent"]) == (4, 2, 133)
+    assert (rows["w"]["worn_items"], rows["w"]["neglected"], rows["w"]["colors"]) == (0, 0, None)
+
+
 def test_updates_can_be_repeated(spark):
     wear = spark.createDataFrame([("u", "1", date(2026, 8, 1), "planned"), ("v", "2", date(2026, 9, 1), "planned")],
                                  "user_id string, record_id string, wear_date date, status string")

@@ -1,5 +1,8 @@
 """Dashboards build and run."""
 
+from pyspark.sql import functions as F
+
+from closetlake.operators import report
 from closetlake.plans import dashboards, settings
 from tests.conftest import SF_DIR
 from verification.registry import AS_OF, NOW, Tables
@@ -24,6 +27,15 @@ def test_user_dashboard(spark):
     assert counts["badges"] == 6 * users and counts["calendar"] == 30 * users
 
 
+def test_weekly_report_reads_wear_pieces_once(spark):
+    """Worn items, the most repeated one and the colors come from one pass over the pieces."""
+    settings.apply(spark)
+    t = tables(spark)
+    probe = t.wear_items.withColumn("pos", F.col("pos") + F.lit(4321))
+    plan = report.weekly_report(t.users, t.items, t.wear, probe, t.looks, t.look_items, AS_OF)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("4321") == 1
+
+
 def test_admin_dashboard(spark):
     panels = dashboards.admin_dashboard(tables(spark), NOW)
     counts = {name: df.count() for name, df in panels.items()}

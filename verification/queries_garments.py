@@ -1,8 +1,5 @@
 """Garment taxonomy, search, listings and the purchase check."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.functions.search import SYNONYM_GROUPS, with_search_text
@@ -85,11 +82,7 @@ UNION ALL SELECT 'favorite', user_id, item_id FROM found WHERE favorite AND {has
 UNION ALL SELECT 'clean', user_id, item_id FROM found WHERE laundry_status = 'Clean' AND {has_sql(['coats', 'brand2'])}""")
 def _(t):
     wanted = {"all": "shoes", "favorite": " Tee  RED", "clean": "coats Brand#2"}
-    found = [
-        garments.search_garments(t.v_garments, words, view).select(F.lit(view).alias("shown"), "user_id", "item_id")
-        for view, words in wanted.items()
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return garments.search_views(t.v_garments, wanted).select("shown", "user_id", "item_id")
 
 
 @query("lookbook_garments", "B2", """
