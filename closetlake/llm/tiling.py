@@ -152,13 +152,14 @@ def _stretch(ids: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[list[int],
 
 def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """Blocks of items (id, words), each fetched on its own; items without words and items alike in all are left out."""
-    sized = benchmark.filter(F.col("text").rlike(r"\w")).select("item_id", "text").distinct()
+    sized = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     sized = sized.withColumn("_size", F.greatest(F.lit(1), F.length("text")).cast("long"))
     total = sized.agg(F.sum("_size")).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for k in range(n):
         part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], words_of(r["text"])) for r in part.select("item_id", "text").collect()]
+        named = [(r["item_id"], words_of(r["text"])) for r in part.select("item_id", "text").collect()]
+        yield [(i, words) for i, words in named if words]
 
 
 _ADDED = {

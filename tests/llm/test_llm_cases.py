@@ -89,6 +89,12 @@ def test_tiling(docs, none, spark):
     assert tiling.keep_clean(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_tiling_of_other_scripts(spark):
+    bench = spark.createDataFrame([(1, "один два три четыре пять шесть"), (2, "?!")], "item_id long, text string")
+    mine = spark.createDataFrame([row(1, "Вот: один два три четыре пять шесть."), row(2, "?!"), row(3, "один два три")], SCHEMA)
+    assert [r["doc_id"] for r in tiling.matches(mine, bench).collect()] == [1]
+
+
 def test_tiles_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
