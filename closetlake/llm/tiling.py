@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.llm.common import prepare, table
+from closetlake.llm.hashing import mix
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
@@ -105,8 +106,23 @@ def tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> list[tuple
     return found
 
 
+def _seed_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` word numbers."""
+    n = len(ids) - size + 1
+    with np.errstate(over="ignore"):
+        numbers, out = ids.astype(np.uint64), np.full(max(0, n), size, dtype=np.uint64)
+        for k in range(size if n > 0 else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[k: k + n]
+        return mix(out)
+
+
 class _Block:
-    """The items of one block, their words as numbers and their seeds."""
+    """The items of one block, their words as numbers and their seeds.
+
+    A seed is kept as its hash and the number of its item, 12 bytes, in order of
+    the hashes. Equal hashes of different seeds would only add candidates, as
+    tiles are compared word by word.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.number: dict[str, int] = {}
@@ -114,24 +130,27 @@ class _Block:
             for w in words:
                 self.number.setdefault(w, len(self.number) + 1)
         self.items = {i: [self.number[w] for w in words] for i, words in items}
-        self.seeds: dict[tuple, set[int]] = defaultdict(set)
-        self.short: dict[int, set[int]] = defaultdict(set)
-        for i, ids in self.items.items():
-            if len(ids) < MIN_MATCH:
-                self.short[len(ids)].add(i)
-                self.seeds[tuple(ids)].add(i)
-            for k in range(len(ids) - MIN_MATCH + 1):
-                self.seeds[tuple(ids[k: k + MIN_MATCH])].add(i)
+        self.short = sorted({len(ids) for ids in self.items.values() if len(ids) < MIN_MATCH})
+        # Sorted per item, so equal seeds of an item are left out.
+        seeds = [(i, np.unique(_seed_hashes(np.array(ids), min(len(ids), MIN_MATCH)))) for i, ids in self.items.items()]
+        hashes = np.concatenate([h for _, h in seeds]) if seeds else np.zeros(0, dtype=np.uint64)
+        owners = np.repeat(np.array([i for i, _ in seeds], dtype=np.int32), [len(h) for _, h in seeds])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each item the stretches of the document around its seeds."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size in (*sorted(self.short), MIN_MATCH):
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        for size in (*self.short, MIN_MATCH):
             if len(ids) < size:
                 continue
-            known = np.concatenate([[0], np.cumsum(ids > 0)])
-            for start in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-                for i in self.seeds.get(tuple(ids[start: start + size].tolist()), ()):
+            starts = np.flatnonzero(known[size:] - known[:-size] == size)
+            hashes = _seed_hashes(ids, size)[starts]
+            low, high = (np.searchsorted(self.hashes, hashes, side) for side in ("left", "right"))
+            met = np.flatnonzero(low < high)
+            for start, a, b in zip(starts[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                for i in self.owners[a:b].tolist():
                     out[i].append((start, start + size))
         return out
 
