@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +29,59 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_folder(application: str) -> str:
+    """One temporary folder for each local application."""
+    return tempfile.mkdtemp(prefix=f"llm-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (a single machine)."""
+    """The folder that ``spark.checkpoint.dir`` names. Without one, a temporary folder where all tasks run in this process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster see")
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it from there."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{_run(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _run(spark: SparkSession) -> str:
+    return f"llm-{spark.sparkContext.applicationId}"
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Remove what this application has stored, once no result that reads it is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_run(spark)}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A side of a join is broadcast up to so many rows of some tens of bytes each, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is small; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns that ``df`` does not have in any letter case: the given ones, lengthened where taken."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(doc_id: str, mod: int) -> Column:

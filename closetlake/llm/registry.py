@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from closetlake.llm import fingerprints, jaccard_join, langid, licenses, mixing, quality, sharding, tiling, toxicity, url_filter
+from closetlake.llm import fingerprints, jaccard_join, langid, licenses, mixing, prefix_trie, quality, sharding, tiling, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "pipeline": corpus_pipeline.run,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
