@@ -1,10 +1,13 @@
 """Plain and slow versions of what the operators compute, for small tables."""
 
+import hashlib
 import re
 import struct
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import xxhash
 
@@ -129,3 +132,92 @@ def mixed_copies(docs):
     con.register("documents", frame)
     got = con.execute(OP3_SQL).fetchall()
     return {i: int(taken / max(1, size) + 0.5) for i, size, _, _, taken in got}
+
+
+def spelling_words(docs):
+    """How often each word occurs, over (doc_id, text)."""
+    found = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % 31 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1:]
+            if len(word) >= 7:
+                found[word] += 1
+    return {w: n for w, n in found.items() if n >= 2}
+
+
+def spelling_variants(n):
+    """(word, form, root, n, n_near, form_n) of every word, by patterns with one place left out."""
+    patterns = {}
+    for w in n:
+        for k in range(len(w)):
+            patterns.setdefault(w[:k] + "\0" + w[k + 1:], []).append(w)
+    near = {w: set() for w in n}
+    for pattern, found in patterns.items():
+        for a in found:
+            near[a].update(b for b in found if b != a)
+            if (short := pattern.replace("\0", "")) in n:
+                near[a].add(short)
+                near[short].add(a)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda b: (-n[b], b), default=None)
+        if best is not None and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = set()
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def trie(sequences):
+    """Nodes of the prefix trie over {conv_id: [(role, text), ...]} as rows in the order of the operator's columns."""
+    members = {}
+    for conv, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(conv)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, found in members.items():
+        own = (len(found) - 1) * len(p[-1][1].encode()) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in children
+            saved[p[:d]] += own
+    out = set()
+    for p, found in members.items():
+        ends = ",".join(str(c) for c in sorted(found) if len(sequences[c]) == len(p))
+        out.add((min(found), len(p), min(members[p[:-1]]) if p else None, len(found), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def rebuilt(own):
+    """Conversations with their first turns taken from the one at the multiple of five below."""
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return out
+
+
+def vector_links(rows, cosine):
+    """{row number: (links, smallest row number reachable)} of rows (vector, label)."""
+    units = [None if v is None or label is None or not len(v) or not np.isfinite(np.array(v, float)).all() or not np.any(v)
+             else np.array(v, float) / np.linalg.norm(np.array(v, float)) for v, label in rows]
+    links = {k: set() for k in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            if units[a] is not None and units[b] is not None and rows[a][1] == rows[b][1] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= cosine:
+                links[a].add(b)
+                links[b].add(a)
+    out = {}
+    for a in links:
+        seen, todo = {a}, [a]
+        while todo:
+            todo += [x for x in links[todo.pop()] if not (x in seen or seen.add(x))]
+        out[a] = (len(links[a]), min(seen))
+    return out
