@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import prepare, stored, table
+from closetlake.llm.common import hidden, prepare, sized_broadcast, stored, table
 from closetlake.llm.components import components
 from closetlake.llm.hashing import mix, set_hash, shingle_hashes, slices, word_hashes
 
@@ -49,8 +49,6 @@ EARLY = 6
 SLICE = 400_000
 #: Rows a task builds before it passes them on.
 CHUNK = 200_000
-#: A side of a join is broadcast up to so many rows (16 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
 #: Sets remembered by a task to send equal ones once.
 REMEMBERED = 100_000
 
@@ -208,11 +206,6 @@ def _classes(batches, columns: list[str], rare: int):
         yield out(held, np.full(len(held["token"]), len(held["token"])))
 
 
-def _sized_broadcast(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is small; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
     """``node``, ``n``, ``n_rare``, ``tokens`` (the shared ones, rare first) of each set that may have a partner."""
     first = _short_lists(docs, size, times, of).repartition("token").sortWithinPartitions("token", "node")
@@ -230,7 +223,7 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
 
     # One Python step here, so that a task keeps one Python worker; its sets are only kept where they may link.
     named = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(send, "node long, n int, tokens array<long>")
-    tokens = named.join(_sized_broadcast(some), "node").select(F.explode("tokens").alias("token"), "node", "n")
+    tokens = named.join(sized_broadcast(some), "node").select(F.explode("tokens").alias("token"), "node", "n")
     counted = tokens.repartition("token").sortWithinPartitions("token", "node").mapInPandas(
         partial(_classes, columns=["token", "node", "n"], rare=RARE), "token long, node long, n int, df int")
     sets = counted.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
@@ -335,8 +328,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, times: int, of: int) -> DataFra
 def links(docs: DataFrame, size: int = SIZE, times: int = TIMES, of: int = OF) -> tuple[DataFrame, DataFrame]:
     """Links between different sets that join all that are similar, and their components (``node``, ``label``).
 
-    Of a group of similar sets enough pairs are verified to connect it, not all.
+    Of a group of similar sets enough pairs are verified to connect it, not all. Combinations of two need two shared
+    tokens; two different similar sets have them at thresholds above a half, and others are refused.
     """
+    if not of < 2 * times <= 2 * of:
+        raise ValueError("the threshold must be above 0.5 and 1 at most")
     sets = linkable(docs, size, times, of)
     index = _index(sets, times, of)
     ordered = index.repartition("key").sortWithinPartitions("key", F.desc("able"), "n", "node")
@@ -375,20 +371,43 @@ def groups(docs: DataFrame, size: int = SIZE, times: int = TIMES, of: int = OF)
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _named(size: int):
+    """The hash of a text's set, null for an empty one, beside the row."""
+
+    @F.pandas_udf("long")
+    def name(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_hash(s) if len(s) else None for s in _sets(list(texts), size)], dtype="Int64")
+
+    return name("text")
+
+
 def keep_one(docs: DataFrame, size: int = 5, times: int = 80, of: int = 100) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest id; rows without id stay.
+    """One row of each group of near copies, with all columns of ``docs``; rows without id stay.
 
-    Of repeated rows (same id) one stays.
+    The row with the smallest id stays, of several with that id in the group the one whose columns
+    have the smallest hash. Rows with one id and different texts are different documents. A row without words
+    is near to nothing but the wordless rows of its id.
     """
-    found = stored(groups(docs, size, times, of).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"))
-    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(_sized_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    node, mark = hidden(docs, "node", "mark")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    rows = stored(marked.filter(F.col("doc_id").isNotNull()).withColumn(node, _named(size)).select("doc_id", F.col(node).alias("node"), F.col(mark).alias("mark")))
+    _, labels = links(docs, size, times, of)
+    own = F.struct("doc_id", "mark")
+    found = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_group = found.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(own).alias("first"))
+    wordless = rows.filter(F.col("node").isNull()).groupBy("doc_id").agg(F.min(own).alias("first"))
+    first = stored(of_group.select("first.*").unionByName(wordless.select("first.*")))
+    counted = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("alike"))
+    gone = stored(counted.join(first, ["doc_id", "mark"], "left_anti").select("doc_id", F.col("mark").alias(mark)))
+    kept = marked.join(sized_broadcast(gone), ["doc_id", mark], "left_anti")
+    # Rows alike in every column: one of them.
+    repeated = stored(counted.filter("alike > 1").join(first, ["doc_id", "mark"], "left_semi").select("doc_id", F.col("mark").alias(mark)))
     if repeated.isEmpty():
-        return kept
-    again = _sized_broadcast(repeated)
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    again = sized_broadcast(repeated)
+    single, several = kept.join(again, ["doc_id", mark], "left_anti"), kept.join(again, ["doc_id", mark], "left_semi")
+    return single.select(*docs.columns).unionByName(several.dropDuplicates(["doc_id", mark]).select(*docs.columns))
 
 
 def op10_jaccard_join(spark, sf_dir):

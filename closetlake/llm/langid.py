@@ -7,9 +7,9 @@ the logistic losses of all bits, weighted by how often that bit's classifier was
 right on training rows of that language; the codeword with the least loss wins.
 When the runner-up is nearly as close, the answer is flagged as ambiguous.
 
-The model is fitted on a sample of labelled rows, ``per_language`` rows of each
-language at most (in a fixed pseudo-random order of ids), each as its ``BUCKETS``
-counts, so what reaches the driver is bounded. Prediction reads every whole text
+The model is fitted on a sample of labelled rows, ``per_language`` ids of each
+language at most (in a fixed pseudo-random order) and ``MOST_ROWS`` in all, each as its ``BUCKETS``
+counts, so what reaches the driver is bounded. An id counts once in each language, whatever the number of its rows. Prediction reads every whole text
 in the scan, with no shuffle.
 """
 
@@ -21,16 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import in_training, held_out, prepare, sample_order, table
+from closetlake.llm.common import held_out, hidden, in_training, prepare, sample_order, table
 from closetlake.llm.hashing import mix, slices
 from closetlake.llm.labelled import per_class
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
-PER_LANGUAGE = 300
+#: Rows the model is fitted on: of each language, and in all. The most frequent languages are learned.
+PER_LANGUAGE, MOST_ROWS = 300, 12_000
 MOST_LANGUAGES = 256
 #: Characters that are held as numbers at a time.
 BLOCK = 200_000
@@ -117,8 +118,8 @@ def gram_counts(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from the text and non-null lang of the given rows; None if there are no labelled letters."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    ids = per_class(labelled, "lang", per_language, MOST_LANGUAGES).distinct()
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
+    ids = per_class(labelled, "lang", per_language, MOST_LANGUAGES)
 
     def count(batches):
         for batch in batches:
@@ -130,13 +131,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
             })
 
     # At most MOST_LANGUAGES * per_language ids of 8 bytes with their labels: a bounded side.
-    rows = (
-        docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-        .select("doc_id", "lang", "text")
-        .mapInPandas(count, "doc_id long, lang string, at array<short>, n array<int>")
-        .orderBy(*sample_order("doc_id"), "lang", "at").limit(MOST_LANGUAGES * per_language).collect()
-    )
-    rows = [r for r in rows if r["at"]]
+    texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    once = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.md5("text")).alias("text"))
+    rows = once.mapInPandas(count, "doc_id long, lang string, at array<short>, n array<int>").filter(F.size("at") > 0)
+    # Each language in turn, so that the bound in all leaves none out.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*sample_order("doc_id")))
+    rows = rows.withColumn("turn", turn).orderBy("turn", "lang").limit(MOST_ROWS).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -173,8 +173,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     names, which are replaced.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    [judged] = hidden(docs, "judged")
+    rows = docs.withColumn(judged, judgement(docs, model))
+    return rows.select(*[f"`{c}`" for c in docs.columns], f"{judged}.*")
+
+
+def judgement(docs: DataFrame, model: Model | None) -> Column:
+    """``lang_pred``, ``score`` and ``ambiguous`` of ``text`` as one column."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -194,8 +200,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 close[at] = ranked[:, -2] > AMBIGUOUS * ranked[:, -1] if near.shape[1] > 1 else False
             yield pd.DataFrame({"lang_pred": label, "score": score, "ambiguous": close})
 
-    marked = F.pandas_udf(judge, "lang_pred string, score double, ambiguous boolean")
-    return docs.withColumn("_judged", marked("text")).select("*", "_judged.*").drop("_judged")
+    return F.pandas_udf(judge, "lang_pred string, score double, ambiguous boolean")("text")
 
 
 def _margins(texts: list, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +226,14 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and is not torn between two languages."""
-    judged = identify(docs)
+    """The rows of ``docs`` whose text has letters and is not torn between two languages, with all their columns as they are.
+
+    Null, empty and letterless texts go. Repeated rows are judged alike. Where no row has a language, nothing can be torn.
+    """
+    [judged] = hidden(docs, "judged")
+    rows = docs.withColumn(judged, judgement(docs, fit(docs)))
     has_letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    wanted = judged.filter(has_letters & ~F.col("ambiguous"))
-    return wanted.select(*docs.columns)
+    return rows.filter(has_letters & ~F.col(f"{judged}.ambiguous")).select(*docs.columns)
 
 
 def op2_language_id(spark, sf_dir):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import prepare, table
+from closetlake.llm.common import hidden, prepare, table
 
 #: Base phrases and labels; fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -162,8 +162,9 @@ def scanned(docs: DataFrame) -> DataFrame:
             rows = pd.DataFrame([scan(t, machine) for t in series], columns=_NAMES)
             yield rows.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64", "permissive": "boolean"})
 
-    found = docs.drop(*_NAMES).withColumn("_found", F.pandas_udf(find, _FOUND)("text"))
-    return found.select("*", "_found.*").drop("_found")
+    docs = docs.drop(*_NAMES)
+    [found] = hidden(docs, "found")
+    return docs.withColumn(found, F.pandas_udf(find, _FOUND)("text")).select(*docs.columns, f"{found}.*")
 
 
 def op7_license_scan(spark, sf_dir):

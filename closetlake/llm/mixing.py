@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import prepare, stored, table
+from closetlake.llm.common import hidden, prepare, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -166,20 +166,30 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
 
 
 def mix_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as the mix takes them, whole.
+    """The mixed corpus: rows of ``docs`` as often as the mix takes them, whole, with all their columns.
 
-    The row at which the budget ends stays if half of it is taken. Rows without
-    words are never taken.
+    The row at which the budget ends stays if half of it is taken. Rows without words, as null texts, are
+    never taken; a null source is a source. Rows alike in id, text and source share what the mix takes of them
+    as evenly as whole rows can, in the order of a hash of all columns.
     """
+    key, theirs, source, copies, alike, number = hidden(docs, "key", "their_key", "their_source", "copies", "alike", "number")
     found = mixed(docs, weights, share, most)
-    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    # Rows alike in id and text share a key; their copies are added up and dealt out evenly again.
-    plan = found.withColumn("copies", copies).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_alike"))
-    rows = docs.withColumn("_k", shuffle_key())
-    joined = rows.join(plan, (F.col("_k") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.filter(F.col("_copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_alike")).cast("int")))).select(*docs.columns)
+    # A row that the mix takes in part counts by the nearest whole number.
+    plan = found.withColumn("c", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long")).groupBy(
+        F.col("key").alias(theirs), F.col("source").alias(source)).agg(F.sum("c").alias(copies), F.count(F.lit(1)).alias(alike))
+    plan = plan.filter(F.col(copies) > 0)
+    joined = docs.withColumn(key, shuffle_key()).join(plan, (F.col(key) == F.col(theirs)) & F.col("source").eqNullSafe(F.col(source)))
+    even = F.col(copies) % F.col(alike) == 0
+    plain = joined.filter(even).withColumn(number, (F.col(copies) / F.col(alike)).cast("long"))
+    # Where copies are left over, equal rows become one with their number; the n-th of all gets as many as the share up to it grows by.
+    same = [*docs.columns, key, source, copies, alike]
+    uneven = joined.filter(~even).groupBy(*[F.col(f"`{c}`") for c in same]).agg(F.count(F.lit(1)).alias(number))
+    order = Window.partitionBy(key, source).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    upto = F.sum(number).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda n: F.floor(F.col(copies) * n / F.col(alike))
+    uneven = uneven.withColumn(number, part(upto) - part(upto - F.col(number)))
+    out = plain.select(*docs.columns, number).unionByName(uneven.select(*docs.columns, number))
+    return out.filter(F.col(number) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(number)))).select(*docs.columns)
 
 
 def op3_source_mixing(spark, sf_dir):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.llm import crf
-from closetlake.llm.common import held_out, in_training, prepare, table
+from closetlake.llm.common import held_out, hidden, in_training, prepare, table
 from closetlake.llm.hashing import BLANKS, slices, word_hashes
 from closetlake.llm.labelled import sample
 
@@ -175,8 +175,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 parts.append(pd.DataFrame({"score": score, "n_lines": counts.astype(np.int64), "bad_lines": bad}))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"score": [], "n_lines": [], "bad_lines": []}).astype({"n_lines": "int64", "bad_lines": "int64"})
 
-    rows = docs.withColumn("_judged", F.pandas_udf(judge, "score double, n_lines long, bad_lines long")("text"))
-    return rows.select("*", "_judged.*").drop("_judged")
+    [judged] = hidden(docs, "judged")
+    rows = docs.withColumn(judged, F.pandas_udf(judge, "score double, n_lines long, bad_lines long")("text"))
+    return rows.select(*docs.columns, f"{judged}.*")
 
 
 def op5_quality(spark, sf_dir):

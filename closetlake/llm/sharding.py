@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import prepare, stored, table
+from closetlake.llm.common import hidden, prepare, stored, table
 
 SHARD_BYTES = 64 * 1024 * 1024
 CELL_BITS = 4
@@ -82,19 +82,21 @@ def _split(cells: DataFrame, limit: int, depth: int, bits: int) -> tuple[list[Da
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """Add ``shard`` (its bits; empty for a single shard), ``shard_bytes``, ``shard_rows`` and ``oversized``.
 
-    A null text has 0 bytes. Columns of these names in ``docs`` are replaced.
-    Rows that are equal in every column share a shard.
+    A null text has 0 bytes; null ids and empty tables need nothing special. Columns of these names in ``docs`` are
+    replaced, all others stay. Rows that are equal in id and text share all bits and so a shard, which is ``oversized``
+    where they exceed the limit together.
     """
     added = ["shard", "shard_bytes", "shard_rows", "oversized"]
     docs = docs.drop(*added)
     rows = stored(docs.select(key_bits().alias("key"), text_bytes().alias("bytes")))
     leaves = stored(directory(rows, limit))
     depths = sorted(r[0] for r in leaves.select("cell_bits").distinct().collect())
-    keyed = docs.withColumn("_key", key_bits())
+    key, cell = hidden(docs, "key", "cell")
+    keyed = docs.withColumn(key, key_bits())
     parts = [
         keyed.join(
-            leaves.filter(F.col("cell_bits") == bits).drop("cell_bits").withColumnRenamed("cell", "_cell"),
-            F.substring("_key", 1, bits) == F.col("_cell"),
+            leaves.filter(F.col("cell_bits") == bits).drop("cell_bits").withColumnRenamed("cell", cell),
+            F.substring(key, 1, bits) == F.col(cell),
         ) for bits in depths
     ]
     if not parts:

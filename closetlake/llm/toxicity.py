@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closetlake.llm import crf
-from closetlake.llm.common import held_out, in_training, prepare, table
+from closetlake.llm.common import held_out, hidden, in_training, prepare, table
 from closetlake.llm.hashing import slices, word_hashes
 from closetlake.llm.labelled import sample
 
@@ -195,8 +195,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 spans.extend(_spans(toxic, found))
             yield pd.DataFrame({"score": np.concatenate(scores) if scores else np.zeros(0), "spans": pd.Series(spans, dtype=object)})
 
-    rows = docs.withColumn("_judged", F.pandas_udf(judge, "score double, spans array<struct<start:long,end:long>>")("text"))
-    return rows.select("*", "_judged.*").drop("_judged")
+    [judged] = hidden(docs, "judged")
+    rows = docs.withColumn(judged, F.pandas_udf(judge, "score double, spans array<struct<start:long,end:long>>")("text"))
+    return rows.select(*docs.columns, f"{judged}.*")
 
 
 def op6_toxicity(spark, sf_dir):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.llm.common import prepare, table
+from closetlake.llm.common import hidden, prepare, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, beginning of the path); fixed values.
@@ -88,18 +88,19 @@ def judged(pages: DataFrame, rules=tuple(RULES), vocabulary=None, soft_limit: in
             yield pd.Series([terms_in(u, machine) for u in series], dtype=object)
 
     host, path = host_and_path()
+    rule, terms, hard, soft = hidden(pages, "found_rule", "found_terms", "found_strict", "found_soft")
     rows = pages.withColumns({"host": host, "path": path})
-    rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("_terms", F.pandas_udf(find, "array<string>")(F.translate("url", UPPER, LOWER)))
-    strict = F.array(*[F.lit(t) for t, w in sorted(weights.items()) if w >= STRICT])
-    rows = rows.withColumn("_strict", F.array_intersect("_terms", strict)).withColumn("_soft", F.array_except("_terms", strict))
-    blocked = (F.size("_strict") > 0) | (F.size("_soft") >= soft_limit)
-    weight = reduce(lambda a, b: a + b, [F.when(F.array_contains("_terms", t), w).otherwise(0) for t, w in sorted(weights.items())])
+    rows = rows.withColumn(rule, rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn(terms, F.pandas_udf(find, "array<string>")(F.translate("url", UPPER, LOWER)))
+    strict = F.array(*[F.lit(t) for t, w in sorted(weights.items()) if w >= STRICT]).cast("array<string>")
+    rows = rows.withColumn(hard, F.array_intersect(terms, strict)).withColumn(soft, F.array_except(terms, strict))
+    blocked = (F.size(hard) > 0) | (F.size(soft) >= soft_limit)
+    weight = reduce(lambda a, b: a + b, [F.when(F.array_contains(terms, t), w).otherwise(0) for t, w in sorted(weights.items())])
     return rows.withColumns({
-        "rule": F.col("_rule.rule"),
-        "verdict": F.coalesce("_rule.verdict", F.when(blocked, F.lit("block")).otherwise("allow")),
-        "strict_terms": F.array_join("_strict", ","), "soft_terms": F.array_join("_soft", ","), "weight": weight,
-    }).drop("_rule", "_terms", "_strict", "_soft")
+        "rule": F.col(f"{rule}.rule"),
+        "verdict": F.coalesce(f"{rule}.verdict", F.when(blocked, F.lit("block")).otherwise("allow")),
+        "strict_terms": F.array_join(hard, ","), "soft_terms": F.array_join(soft, ","), "weight": weight,
+    }).drop(rule, terms, hard, soft)
 
 
 def op1_url_filter(spark, sf_dir):
