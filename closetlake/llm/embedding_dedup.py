@@ -52,6 +52,8 @@ SLAB, WINDOW = 2.0, 2.0
 MOST_CUT = 20
 #: Vectors of a block.
 BLOCK = 2048
+#: Groups of so many vectors are compared alone, smaller ones together; pairs counted at a time.
+DENSE, PAIRS = 256, 1_000_000
 #: Steps of a projection that is kept as one byte.
 STEP = 1 / 28
 SEED = 11
@@ -236,46 +238,94 @@ def _cells_only(cut: int, cosine: float):
 GROUP = ["cell", "i", "j", "t", "d", "label"]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each block pair of a sorted stream; a block has a bounded number of rows."""
-    held: list[pd.DataFrame] = []
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole groups of a sorted stream, many small ones at a time, and the number of each row's group."""
+    held: pd.DataFrame | None = None
+
+    def cut(rows):
+        keys = rows[GROUP].to_numpy(np.int64)
+        new = (keys[1:] != keys[:-1]).any(axis=1)
+        return np.concatenate([[0], np.cumsum(new)])
+
     for batch in batches:
-        if not len(batch):
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        group = cut(rows)
+        open_ = int(np.searchsorted(group, group[-1]))
+        held = rows.iloc[open_:].reset_index(drop=True)
+        if open_:
+            yield rows.iloc[:open_], group[:open_]
+    if held is not None:
+        yield held, cut(held)
+
+
+def _small_candidates(sketch: np.ndarray, group: np.ndarray, half: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``candidates`` within each of many small groups: all groups are sorted at once by group and projection."""
+    n = len(group)
+    at = np.arange(n)
+    last = np.searchsorted(group, group, side="right")
+    base = group.astype(np.int64) * 1024
+    ranks, lows, widths = (np.empty((sketch.shape[1], n), dtype=np.uint32) for _ in range(3))
+    for k, x in enumerate(sketch.T.astype(np.int64)):
+        value = base + x
+        order = np.argsort(value, kind="stable")
+        ranks[k, order] = at
+        lows[k] = np.searchsorted(value[order], value - half, side="left")
+        widths[k] = np.searchsorted(value[order], value + half, side="right") - lows[k]
+    many = last - at - 1
+    upto = np.cumsum(many)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, side="right")))
+        part = many[start:stop]
+        i = np.repeat(at[start:stop], part)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+        found = np.zeros(len(i), dtype=np.uint8)
+        for rank, low, width in zip(ranks, lows, widths, strict=True):
+            found += (rank[j] - low[i]) < width[i]
+        ok = found >= least
+        yield i[ok], j[ok]
+        start = stop
+
+
+def _pairs(rows: pd.DataFrame, group: np.ndarray, sketch: np.ndarray, own: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of row numbers within all groups; groups are small ones together, large ones and block pairs each alone."""
+    first, size = np.unique(group, return_index=True, return_counts=True)[1:]
+    alone = (size >= DENSE) | (rows["i"].to_numpy() != rows["j"].to_numpy())[first]
+    for a, b in zip(first[alone], (first + size)[alone], strict=True):
+        block, i, j = rows["block"].to_numpy()[a:b], int(rows["i"].iat[a]), int(rows["j"].iat[a])
+        x, y = a + np.flatnonzero(block == i), a + np.flatnonzero(block == j)
+        if not len(x) or not len(y):
             continue
-        keys = batch[GROUP].to_numpy(np.int64)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = batch.iloc[a:b]
-            if held and tuple(held[-1][GROUP].iloc[-1]) != tuple(rows[GROUP].iloc[0]):
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-                held = []
-            held.append(rows)
-    if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        for p, q in candidates(sketch[x], sketch[y], own.half, own.least):
+            p, q = x[p], y[q]
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            yield p, q
+    some = np.flatnonzero(np.repeat(~alone & (size > 1), size))
+    if len(some):
+        for p, q in _small_candidates(sketch[some], group[some], own.half, own.least):
+            yield some[p], some[q]
 
 
-def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row numbers of the two blocks, and whether they are the same."""
-    i, j = int(rows["i"].iat[0]), int(rows["j"].iat[0])
-    block = rows["block"].to_numpy()
-    return np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
+def _by_components(rows: pd.DataFrame, group: np.ndarray, cut: int, cosine: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, Model]]:
+    d = rows["d"].to_numpy()
+    for k in np.unique(d):
+        at = np.flatnonzero(d == k)
+        yield rows.iloc[at].reset_index(drop=True), group[at], model(int(k), cut, cosine)
 
 
 def _with_candidates(cut: int, cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches):
-            if len(rows) < 2:
-                continue
-            own = model(int(rows["d"].iat[0]), cut, cosine)
-            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.int8).reshape(len(rows), -1)
-            a, b, same = _sides(rows)
-            found = np.zeros(len(rows), dtype=bool)
-            for i, j in candidates(sketch[a], sketch[b], own.half, own.least):
-                i, j = a[i], b[j]
-                ok = i < j if same else np.ones(len(i), dtype=bool)
-                found[i[ok]] = found[j[ok]] = True
-            if found.any():
-                yield pd.DataFrame({"node": rows["node"].to_numpy()[found]})
+        for all_, groups_ in _whole_groups(batches):
+            for rows, group, own in _by_components(all_, groups_, cut, cosine):
+                sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.int8).reshape(len(rows), -1)
+                found = np.zeros(len(rows), dtype=bool)
+                for i, j in _pairs(rows, group, sketch, own):
+                    found[i] = found[j] = True
+                if found.any():
+                    yield pd.DataFrame({"node": rows["node"].to_numpy()[found]}).drop_duplicates()
 
     return run
 
@@ -292,38 +342,39 @@ def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
+def _near(unit: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs reach the cosine: from products of matrices where most pairs of some rows are asked for, else one by one."""
+    rows_i, at_i = np.unique(i, return_inverse=True)
+    rows_j, at_j = np.unique(j, return_inverse=True)
+    if len(rows_i) * len(rows_j) <= 4 * len(i):
+        return (unit[rows_i] @ unit[rows_j].T)[at_i, at_j] >= cosine
+    step = max(1, 4_000_000 // unit.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", unit[i[k: k + step]], unit[j[k: k + step]]) for k in range(0, len(i), step)]) >= cosine
+
+
 def _linked(cut: int, cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches):
-            if len(rows) < 2:
-                continue
-            own = model(int(rows["d"].iat[0]), cut, cosine)
-            vectors = np.stack([np.asarray(x, dtype=np.float64) for x in rows["embedding"]])
-            unit, keys, n, t = _units(vectors), np.stack(list(rows["keys"])), rows["n"].to_numpy(np.int64), int(rows["t"].iat[0])
-            sketch = own.sketch(unit)
-            a, b, same = _sides(rows)
-            links, low = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-            for i, j in candidates(sketch[a], sketch[b], own.half, own.least):
-                i, j = a[i], b[j]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                rows_i, at_i = np.unique(i, return_inverse=True)
-                rows_j, at_j = np.unique(j, return_inverse=True)
-                ok = (unit[rows_i] @ unit[rows_j].T)[at_i, at_j] >= cosine
-                i, j = i[ok], j[ok]
-                before = np.zeros(len(i), dtype=bool)
-                for k in range(t):
-                    before |= keys[i, k] == keys[j, k]
-                i, j = i[~before], j[~before]
-                links += np.bincount(i, weights=n[j], minlength=len(rows)).astype(np.int64)
-                links += np.bincount(j, weights=n[i], minlength=len(rows)).astype(np.int64)
-                low = low[_lowest(low[i], low[j], len(rows))]
-            at = np.flatnonzero(links)
-            if len(at):
-                nodes = rows["node"].to_numpy()
-                yield pd.DataFrame({"node": nodes[at], "links": links[at], "low": nodes[low[at]]})
+        for all_, groups_ in _whole_groups(batches):
+            for rows, group, own in _by_components(all_, groups_, cut, cosine):
+                unit = _units(np.stack([np.asarray(x, dtype=np.float64) for x in rows["embedding"]]))
+                keys, n, t = np.stack(list(rows["keys"])), rows["n"].to_numpy(np.int64), rows["t"].to_numpy()
+                earlier = np.arange(keys.shape[1])
+                links, low = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+                for i, j in _pairs(rows, group, own.sketch(unit), own):
+                    if not len(i):
+                        continue
+                    ok = _near(unit, i, j, cosine)
+                    i, j = i[ok], j[ok]
+                    # A pair counts in the first table that it meets in.
+                    ok = ~((keys[i] == keys[j]) & (earlier < t[i, None])).any(axis=1)
+                    i, j = i[ok], j[ok]
+                    links += np.bincount(i, weights=n[j], minlength=len(rows)).astype(np.int64)
+                    links += np.bincount(j, weights=n[i], minlength=len(rows)).astype(np.int64)
+                    low = _lowest(np.concatenate([i, np.arange(len(rows))]), np.concatenate([j, low]), len(rows))
+                at = np.flatnonzero(links)
+                if len(at):
+                    nodes = rows["node"].to_numpy()
+                    yield pd.DataFrame({"node": nodes[at], "links": links[at], "low": nodes[low[at]]})
 
     return run
 
