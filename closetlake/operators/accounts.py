@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from closetlake.functions.text import coverage_text, list_text, pretty, strip
 from closetlake.functions.values import as_instant, first_text, is_true, text
-from closetlake.operators.common import left_all, newest_first, page, zero_filled
+from closetlake.operators.common import left_all, newest_first, zero_filled
+from closetlake.operators.paging import bucket_counts, page
 from closetlake.operators.garments import labelled_rows
 from closetlake.schemas import conform
 
@@ -94,8 +95,14 @@ def user_rollup(users, items, looks, history, wear, quests, responses, logs) ->
     )
 
 
-def users_page(rollup: DataFrame, number: int) -> DataFrame:
-    return page(rollup, [newest_first("created_at"), F.col("user_id")], number, USERS_PER_PAGE)
+def user_counts(users: DataFrame) -> DataFrame:
+    """Users per day of joining; what the pages of the user list are found by, from users or their rollup."""
+    return bucket_counts(users, newest_first("created_at"))
+
+
+def users_page(rollup: DataFrame, number: int, counts: DataFrame | None = None) -> DataFrame:
+    """One page of the user list, newest first, with the ``user_counts`` that are kept or counted now."""
+    return page(rollup, [newest_first("created_at"), F.col("user_id")], number, USERS_PER_PAGE, counts)
 
 
 def iso_day(c) -> Column:

@@ -11,7 +11,8 @@ from closetlake.functions.calendar import day, within_days
 from closetlake.functions.text import event_detail
 from closetlake.functions.values import first_text
 from closetlake.operators.accounts import ACTIVITY_CHAIN
-from closetlake.operators.common import left_all, newest_first, page, zero_filled
+from closetlake.operators.common import left_all, newest_first, zero_filled
+from closetlake.operators.paging import DAY, page
 
 EVENTS_PER_PAGE = 30
 
@@ -95,14 +96,29 @@ def events_per_day(feed: DataFrame) -> DataFrame:
     return feed.groupBy(day("time").alias("day")).agg(F.count(F.lit(1)).alias("events"))
 
 
-def feed_page(feed: DataFrame, number: int) -> DataFrame:
-    """One page, newest first; each day's first row on the page carries its count."""
+def feed_counts(feed: DataFrame) -> DataFrame:
+    """Events per day, as ``bucket``, ``n``, ``low``, ``high`` for paging and ``day`` in the local time zone.
+
+    Holds few rows per day and may be stored; ``feed_page`` then reads the feed for the rows of a page only.
+    """
+    keyed = feed.select(newest_first("time").alias("key"), day("time").alias("day"))
+    return keyed.groupBy(F.floor(F.col("key") / DAY).cast("bigint").alias("bucket"), "day").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+
+
+def feed_page(feed: DataFrame, number: int, counts: DataFrame | None = None) -> DataFrame:
+    """One page, newest first; each day's first row on the page carries its count.
+
+    ``counts`` are the feed's ``feed_counts`` if they are kept; without, they are made here.
+    """
+    counts = feed_counts(feed).cache() if counts is None else counts
+    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     order = [newest_first("time"), F.col("event_id")]
-    rows = page(feed, order, number, EVENTS_PER_PAGE).withColumn("day", day("time"))
+    rows = page(feed, order, number, EVENTS_PER_PAGE, buckets).withColumn("day", day("time"))
     # At most one page of rows reaches this window.
     previous = F.lag("day").over(Window.orderBy("row_no"))
     rows = rows.withColumn("heading", F.coalesce(previous != F.col("day"), F.lit(True)))
-    counted = rows.join(events_per_day(feed), "day", "left")
+    counted = rows.join(counts.groupBy("day").agg(F.sum("n").alias("events")), "day", "left")
     return counted.select(
         "row_no", "page", "page_count", "event_id", "label", *[c for c in ("actor", "user_id", "type", "detail", "time") if c in counted.columns],
         "day", "heading",

@@ -67,36 +67,3 @@ def flag_first(df: DataFrame, key: str, order: list[str], flag: str) -> DataFram
     first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first_row"))
     joined = df.join(first, key, "left")
     return joined.withColumn(flag, F.coalesce(F.struct(*order) == F.col("_first_row"), F.lit(False))).drop("_first_row")
-
-
-MINUTE, DAY = 60_000_000, 1440
-
-
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of an ordered listing, with page number and count of all rows.
-
-    A page beyond the end shows the last one. The first order column must be a
-    number (instants as microseconds). Rows are counted per minute of it; days and
-    then minutes that hold part of the page are picked by running counts, and
-    only their rows are ordered. Days and minutes picked are no more than the
-    page has rows, so they are broadcast.
-    """
-    minute = F.floor(order[0] / MINUTE).cast("bigint")
-    minutes = df.groupBy(minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
-    days = minutes.groupBy(F.floor(F.col("_minute") / DAY).cast("bigint").alias("_day")).agg(F.sum("_n").alias("_n"))
-    # One row per day here, and below one per minute of the picked days.
-    days = days.select("_day", "_n", F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
-                       F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("total_rows"))
-    days = days.withColumn("page_count", F.ceil(F.col("total_rows") / size).cast("bigint"))
-    days = days.withColumn("page", F.least(F.lit(max(1, number)).cast("bigint"), F.col("page_count")))
-    low, high = (F.col("page") - 1) * size, F.col("page") * size
-    picked = days.filter((F.col("_end") > low) & (F.col("_end") - F.col("_n") < high))
-    picked = picked.select("_day", (F.col("_end") - F.col("_n")).alias("_before"), "total_rows", "page_count", "page")
-    inside = minutes.withColumn("_day", F.floor(F.col("_minute") / DAY).cast("bigint")).join(F.broadcast(picked), "_day")
-    inside = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(
-        Window.partitionBy("_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.filter((F.col("_end") > low) & (F.col("_end") - F.col("_n") < high))
-    inside = inside.select("_minute", (F.col("_end") - F.col("_n")).alias("_start"), "total_rows", "page_count", "page")
-    rows = df.withColumn("_minute", minute).join(F.broadcast(inside), "_minute")
-    ranked = rows.withColumn("row_no", F.col("_start") + F.row_number().over(Window.partitionBy("_minute").orderBy(*order)))
-    return ranked.filter((F.col("row_no") > low) & (F.col("row_no") <= high)).drop("_minute", "_start")

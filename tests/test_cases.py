@@ -214,7 +214,7 @@ def test_limits_and_premium(spark):
 
 
 def test_page_past_the_end_shows_the_last(spark):
-    from closetlake.operators.common import page
+    from closetlake.operators.paging import page
 
     df = spark.range(45)
     got = page(df, [F.col("id")], 9, 20).collect()
@@ -348,9 +348,39 @@ def test_forbidden_wording_is_plain_text(spark):
 
 
 def test_deep_page_orders_few_rows(spark):
-    from closetlake.operators.common import page
+    from closetlake.operators.paging import page
 
     df = spark.range(0, 5000).select("id", (F.col("id") * 7_000_000_000).alias("at"))
     got = page(df, [F.col("at"), F.col("id")], 10**12, 30).collect()
     assert sorted(r["id"] for r in got) == list(range(4980, 5000)) and {r["page"] for r in got} == {167}
     assert sorted(r["row_no"] for r in got) == list(range(4981, 5001))
+
+
+def test_one_instant_is_paged_in_small_parts(spark, monkeypatch):
+    """100,000 rows of one instant and some beside it; order by a text or a number after it."""
+    from closetlake.operators import paging
+
+    monkeypatch.setattr(paging, "MOST_ROWS", 500)
+    df = spark.range(0, 100_000).select(
+        F.when(F.col("id") < 99_990, 5).otherwise(F.col("id") - 99_980).cast("long").alias("at"), F.concat(F.lit("wardrobe:"), F.col("id").cast("string")).alias("name"), (F.col("id") * 31).alias("id"))
+    rows = df.collect()
+    for column in ("name", "id"):
+        ordered = sorted(rows, key=lambda r: (r["at"], r[column]))
+        for number in (1, 777, 3333, 10**9):
+            got = sorted(paging.page(df, [F.col("at"), F.col(column)], number, 30).collect(), key=lambda r: r["row_no"])
+            at = min(number, 3334)
+            assert [r["id"] for r in got] == [r["id"] for r in ordered[(at - 1) * 30: at * 30]]
+            assert [r["row_no"] for r in got] == list(range((at - 1) * 30 + 1, min(at * 30, 100_000) + 1)) and {r["page_count"] for r in got} == {3334}
+    kept, start = paging._from_start(df, [F.col("at"), F.col("name")], 50_000, 50_030)
+    assert df.filter(kept).count() <= 500 + 30 and 50_000 - 500 <= start <= 50_000
+
+
+def test_kept_counts_save_a_pass(spark):
+    from closetlake.operators import activity
+
+    feed = spark.range(0, 300).select(
+        (F.timestamp_seconds(F.col("id") * 7000)).alias("time"), F.col("id").cast("string").alias("event_id"), F.lit("x").alias("label"), F.lit("ai").alias("type"))
+    counts = spark.createDataFrame(activity.feed_counts(feed).collect(), activity.feed_counts(feed).schema)
+    assert sorted(map(str, activity.feed_page(feed, 4, counts).collect())) == sorted(map(str, activity.feed_page(feed, 4).collect()))
+    changed = counts.withColumn("n", F.col("n") * 2)
+    assert activity.feed_page(feed, 4, changed).first()["page_count"] == 20

@@ -71,7 +71,8 @@ WITH {ROLLUP} SELECT user_id, name, row_no, CAST(ceil(row_no / 20) AS BIGINT) AS
 WHERE row_no BETWEEN 41 AND 60 OR ceil(row_no / 20) = ceil(n / 20)""")
 def _(t):
     """The third page and the last one."""
-    both = [accounts.users_page(rollup(t), n) for n in (3, 1_000_000_000_000)]
+    counts = accounts.user_counts(t.v_accounts)
+    both = [accounts.users_page(rollup(t), n, counts) for n in (3, 1_000_000_000_000)]
     return both[0].unionByName(both[1]).select("user_id", "name", "row_no", "page", "page_count")
 
 
