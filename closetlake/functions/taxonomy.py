@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,35 +82,58 @@ def slot_words(category, sub_category, category_role, title, tags) -> Column:
     return F.lower(F.array_join(F.filter(everything, lambda x: x != ""), " "))
 
 
-def with_taxonomy(garments: DataFrame) -> DataFrame:
+#: What category and slot depend on.
+INPUTS = {
+    "category": "string", "sub_category": "string", "category_role": "string", "title": "string", "tags": "array<string>",
+    "body_zone": "string", "layer_role": "string", "standalone_outfit": "boolean",
+}
+#: Different values a dictionary may hold; it is broadcast to all tasks (some 100 bytes each).
+MOST_VALUES = 500_000
+
+
+def _fields(garments: DataFrame) -> dict[str, Column]:
+    """The inputs of a table; columns it lacks count as null."""
+    return {n: (F.col(n) if n in garments.columns else F.lit(None)).cast(kind) for n, kind in INPUTS.items()}
+
+
+def _tagged(garments: DataFrame) -> DataFrame:
+    # One after the other, so that the category patterns run once per row and the slot only reads the result.
+    f = _fields(garments)
+    words = slot_words(*[f[n] for n in ("category", "sub_category", "category_role", "title", "tags")])
+    named = garments.withColumn("norm_category", garment_category(f["category"], f["sub_category"])).withColumn("_words", words)
+    slot = outfit_slot(F.col("norm_category"), F.col("_words"), f["body_zone"], f["layer_role"], f["standalone_outfit"])
+    return named.withColumn("slot", slot).drop("_words")
+
+
+def taxonomy_values(*tables: DataFrame) -> DataFrame | None:
+    """A dictionary of category and slot for the different inputs of some tables, or None if there are too many.
+
+    Every pattern runs once for each different value, however many rows have it. Values are counted here, so that
+    a table that is joined with the dictionary can broadcast it; all joins of a query share one broadcast.
+    """
+    rows = tables[0].select(*[c.alias(n) for n, c in _fields(tables[0]).items()]).distinct()
+    for table in tables[1:]:
+        rows = rows.union(table.select(*[c.alias(n) for n, c in _fields(table).items()]).distinct())
+    rows = rows.distinct()
+    if rows.count() > MOST_VALUES:
+        return None
+    # One struct, so that all uses read the same columns.
+    return _tagged(rows).select(*[F.col(n).alias(f"_v_{n}") for n in INPUTS], F.struct("norm_category", "slot").alias("_tag"))
+
+
+def with_taxonomy(garments: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Add ``norm_category`` and ``slot``; columns the table lacks count as null.
 
-    The two are added one after the other so that the category patterns run once
-    per row and the slot only reads the result. A table that was stored with them
-    is returned as it is.
+    With the ``taxonomy_values`` of the table they are looked up there. A table that was stored with
+    them is returned as it is.
     """
     if {"norm_category", "slot"} <= set(garments.columns):
         return garments
-
-    def field(name: str, kind: str = "string") -> Column:
-        return F.col(name) if name in garments.columns else F.lit(None).cast(kind)
-
-    words = slot_words(
-        field("category"), field("sub_category"), field("category_role"),
-        field("title"), field("tags", "array<string>"),
-    )
-    return (
-        garments.withColumn("norm_category", garment_category(field("category"), field("sub_category")))
-        .withColumn("_words", words)
-        .withColumn(
-            "slot",
-            outfit_slot(
-                F.col("norm_category"), F.col("_words"), field("body_zone"),
-                field("layer_role"), field("standalone_outfit", "boolean"),
-            ),
-        )
-        .drop("_words")
-    )
+    if values is None:
+        return _tagged(garments)
+    alike = [c.eqNullSafe(F.col(f"_v_{n}")) for n, c in _fields(garments).items()]
+    joined = garments.join(F.broadcast(values), reduce(lambda a, b: a & b, alike), "left")
+    return joined.select(*garments.columns, "_tag.norm_category", "_tag.slot")
 
 
 def base_kind(slot) -> Column:

@@ -109,9 +109,10 @@ def feed_counts(feed: DataFrame) -> DataFrame:
 def feed_page(feed: DataFrame, number: int, counts: DataFrame | None = None) -> DataFrame:
     """One page, newest first; each day's first row on the page carries its count.
 
-    ``counts`` are the feed's ``feed_counts`` if they are kept; without, they are made here.
+    ``counts`` are the feed's ``feed_counts`` if they are kept; without, they are counted here and held as rows.
     """
-    counts = feed_counts(feed).cache() if counts is None else counts
+    if counts is None:
+        counts = feed.sparkSession.createDataFrame(feed_counts(feed).toArrow())
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     order = [newest_first("time"), F.col("event_id")]
     rows = page(feed, order, number, EVENTS_PER_PAGE, buckets).withColumn("day", day("time"))

@@ -17,7 +17,7 @@ from itertools import combinations as subsets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closetlake.functions.taxonomy import BASE_SLOTS, SLOTS, base_kind, with_taxonomy
+from closetlake.functions.taxonomy import BASE_SLOTS, SLOTS, base_kind, taxonomy_values, with_taxonomy
 from closetlake.functions.text import search_key
 from closetlake.functions.values import first_number
 from closetlake.operators.common import exploded, newest_first, top_k
@@ -68,7 +68,10 @@ def similar_garments(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Up to six similar owned garments per candidate, best first."""
     keys = [f"k_{n}" for n in WEIGHTS]
     order = [F.col("newest"), F.col("item_id")]
-    owned = _with_keys(items.filter(purchase_usable())).select(
+    candidates = with_taxonomy(candidates)
+    # Only garments of an owner and category that a candidate has can be similar to one.
+    asked = candidates.select("user_id", "norm_category").distinct()
+    owned = _with_keys(items.filter(purchase_usable()).transform(with_taxonomy).join(asked, ["user_id", "norm_category"], "left_semi")).select(
         "user_id", "item_id", "norm_category", newest_first("created_at").alias("newest"), *keys
     )
     # Garments alike in every attribute stand in for each other, so six suffice.
@@ -139,8 +142,8 @@ def combination_lists(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return kinds.join(slot_pools(items), "user_id").select("user_id", "kind", built.alias("combinations"))
 
 
-def with_kind(candidates: DataFrame) -> DataFrame:
-    return with_taxonomy(candidates).withColumn("kind", base_kind("slot"))
+def with_kind(candidates: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    return with_taxonomy(candidates, values).withColumn("kind", base_kind("slot"))
 
 
 def combinations(candidates: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,8 +157,13 @@ def combinations(candidates: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def purchase_check(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """Counts, expected wears, cost per wear and verdict per candidate."""
-    candidates, items = with_kind(candidates), with_taxonomy(items)
+    """Counts, expected wears, cost per wear and verdict per candidate.
+
+    Category and slot of tables that lack them are found once for each different value.
+    """
+    untagged = [t for t in (candidates, items) if not {"norm_category", "slot"} <= set(t.columns)]
+    values = taxonomy_values(*untagged) if untagged else None
+    candidates, items = with_kind(candidates, values), with_taxonomy(items, values)
     wanted = candidates.select("user_id", "candidate_id", "price", "kind")
     similar = similar_garments(candidates, items).groupBy("user_id", "candidate_id").agg(
         F.count(F.lit(1)).alias("similar")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from closetlake.functions.taxonomy import with_taxonomy
+from closetlake.functions.taxonomy import taxonomy_values, with_taxonomy
 from closetlake.functions.values import as_date
 from closetlake.operators import accounts, activity, garments, insights, looks, platform, purchase, quests, report
 
@@ -102,7 +102,8 @@ def admin_dashboard(t: Tables, now) -> dict[str, DataFrame]:
 
 def purchase_dashboard(candidates: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     """Result, similar garments and combinations of every purchase check."""
-    items, candidates = with_taxonomy(items), purchase.with_kind(candidates)
+    values = taxonomy_values(items, candidates)
+    items, candidates = with_taxonomy(items, values), purchase.with_kind(candidates, values)
     return {
         "result": purchase.purchase_check(candidates, items),
         "similar": purchase.similar_garments(candidates, items),

@@ -1,8 +1,12 @@
 """Dashboards build and run."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from closetlake.operators import report
+from closetlake.functions import taxonomy
+from closetlake.functions.taxonomy import taxonomy_values, with_taxonomy
+from closetlake.operators import purchase, report
 from closetlake.plans import dashboards, settings
 from tests.conftest import SF_DIR
 from verification.registry import AS_OF, NOW, Tables
@@ -48,3 +52,24 @@ def test_purchase_dashboard(spark):
     panels = dashboards.purchase_dashboard(t.v_candidates, t.v_items)
     assert panels["result"].count() == t.v_candidates.count()
     assert panels["similar"].count() > 0 and panels["combinations"].count() > 0
+
+
+def test_patterns_run_once_for_each_value(spark):
+    """The patterns of category and slot stand once in the plan of the purchase check, over different values."""
+    t = Tables(settings.apply(spark), SF_DIR)
+    frame = purchase.purchase_check(t.v_candidates, t.v_items)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"RLIKE", final)) <= 13 and "ReusedExchange" in final
+    values = taxonomy_values(t.v_items, t.v_candidates)
+    assert values.count() < t.v_items.count() / 2
+    both = [with_taxonomy(t.v_items, v).select("user_id", "item_id", "norm_category", "slot") for v in (None, values)]
+    assert both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
+
+
+def test_too_many_values_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(taxonomy, "MOST_VALUES", 3)
+    df = spark.createDataFrame([(f"Denim {n}",) for n in range(5)] + [(None,)], "title string")
+    assert taxonomy_values(df) is None and taxonomy_values(df.limit(2), df.limit(1)) is not None
+    assert with_taxonomy(df, taxonomy_values(df)).filter("norm_category = 'Top'").count() == 6

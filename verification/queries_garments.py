@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from closetlake.functions.search import SYNONYM_GROUPS, with_search_text
-from closetlake.functions.taxonomy import CATEGORY_PATTERNS, SLOT_PATTERNS, with_taxonomy
+from closetlake.functions.taxonomy import CATEGORY_PATTERNS, SLOT_PATTERNS, taxonomy_values, with_taxonomy
 from closetlake.operators import garments, purchase
 from closetlake.operators.report import report_eligible
 from verification.registry import query
@@ -65,7 +65,8 @@ def has_sql(words):
 
 @query("garment_taxonomy", "H1,H2", f"WITH {TAXONOMY} SELECT user_id, item_id, norm_category, slot FROM tax")
 def _(t):
-    return with_taxonomy(t.v_garments).select("user_id", "item_id", "norm_category", "slot")
+    """Found once for each different value, and looked up for every garment."""
+    return with_taxonomy(t.v_garments, taxonomy_values(t.v_garments)).select("user_id", "item_id", "norm_category", "slot")
 
 
 @query("garment_search_text", "H3,H4,H5", f"""
