@@ -104,3 +104,24 @@ def test_next_state_can_be_written(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == stored.select("record_id").distinct().count()
     assert writes.new_plans(t.v_plan_requests, t.v_looks, t.v_look_items, stored, NOW).count() == 0
+
+
+def test_wire_values_are_never_lost_silently(spark):
+    from closetlake.sources.wire import decode_documents
+    from pyspark.sql.types import StructType
+
+    docs = [
+        '{"name": "x/1", "fields": {"a": {"mapValue": {"fields": {"n": {"stringValue": "five"}, "deep": {"mapValue": {"fields": {"k": {"arrayValue": {"values": [{"integerValue": "1"}, {"mapValue": {}}]}}, "more": {"nullValue": null}}}}}}}, "tags": {"stringValue": "one"}}}',
+        '{"name": "x/2", "fields": {"a": {"arrayValue": {}}, "tags": {"arrayValue": {"values": [{"doubleValue": 1.5}, {"nullValue": null}, {"arrayValue": {}}]}}, "new": {"geoPointValue": {"latitude": 1}}}}',
+        '{"name": "x/3", "fields": {"at": {"doubleValue": "much"}, "tags": {"arrayValue": {}}}}', "no document", None, '{"name": "x/4"}',
+        '{"name": "x/5", "fields": {"at": {"referenceValue": "d/1"}, "tags": {"arrayValue": {"values": [{"referenceValue": "d/2"}]}}, "A": {"stringValue": "upper"}}}',
+    ]
+    wanted = StructType.fromDDL("a struct<n int, deep struct<k array<string>>>, tags array<string>, at timestamp")
+    rows = decode_documents(spark.createDataFrame([(d,) for d in docs], "value string"), wanted, rejects="lost", rescue="rest")
+    got = {r["id"]: r for r in rows.withColumn("rest", F.to_json("rest")).collect() if r["id"]}
+    assert got["1"]["lost"] == ["a.n", "a.deep.k[1]", "tags"] and got["1"]["rest"] == '{"a.deep.more":{"nullValue":null}}' and got["1"]["a"]["deep"]["k"] == ["1", None]
+    assert got["2"]["lost"] == ["a", "tags[2]"] and got["2"]["tags"] == ["1.5", None, None] and got["2"]["rest"] == '{"new":{"geoPointValue":{"latitude":1}}}'
+    assert got["3"]["lost"] == ["at"] and got["3"]["tags"] == [] and got["3"]["rest"] is None
+    assert got["4"]["lost"] == [] and got["4"]["a"] is None
+    assert got["5"]["lost"] == ["at"] and got["5"]["tags"] == ["d/2"] and got["5"]["rest"] == '{"A":{"stringValue":"upper"}}'
+    assert sorted(str(r["lost"]) for r in rows.select("id", "lost").collect() if r["id"] is None) == ["['$']", "[]"]

@@ -100,6 +100,44 @@ def _(t):
     return rows.withColumns({"tags": F.array_join("tags", "|"), "maker": F.col("origin.maker"), "paid": F.col("origin.paid")}).drop("origin")
 
 
+@query("wire_nested", "A6", """
+SELECT CAST(item_id AS VARCHAR) AS id,
+  CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(times_worn AS VARCHAR) ELSE CAST(times_worn + 1 AS VARCHAR) END AS worn,
+  CASE WHEN item_id % 5 = 0 THEN NULL ELSE '3|' || CASE WHEN item_id % 2 = 0 THEN '-' ELSE '4' END END AS sizes,
+  CASE WHEN item_id % 7 = 0 THEN NULL ELSE title END AS label,
+  array_to_string(list_filter([
+    CASE WHEN item_id % 3 = 0 THEN 'use.worn' END, CASE WHEN item_id % 5 = 0 THEN 'sizes' WHEN item_id % 2 = 0 THEN 'sizes[1]' END,
+    CASE WHEN item_id % 7 = 0 THEN 'label' END], lambda x: x IS NOT NULL), ',') AS unread,
+  CASE WHEN item_id % 4 = 0 THEN '{{"brand":{{"stringValue":"' || brand || '"}},"use.note":{{"integerValue":"' || item_id || '"}}}}' ELSE '' END AS rest
+FROM {v_items} WHERE times_worn IS NOT NULL""")
+def _(t):
+    """Garments whose records and lists hold values of other types, and fields nobody declared, in one garment of four."""
+    from pyspark.sql.types import StructType
+
+    n, i = F.col("times_worn"), F.col("item_id")
+
+    def tagged(**tags):
+        return F.struct(*[F.when(when, v).alias(k) if when is not None else v.alias(k) for k, (when, v) in tags.items()])
+
+    worn = tagged(stringValue=(i % 3 == 0, F.lit("often")), integerValue=(i % 3 == 1, n.cast("string")), doubleValue=(i % 3 == 2, n + F.lit(1.0)))
+    note = F.when(i % 4 == 0, tagged(integerValue=(None, i.cast("string"))))
+    entries = F.array(tagged(integerValue=(None, F.lit("3")), stringValue=(F.lit(False), F.lit(""))), tagged(integerValue=(i % 2 == 1, F.lit("4")), stringValue=(i % 2 == 0, F.lit("L"))))
+    fields = F.struct(
+        F.struct(F.struct(F.struct(worn.alias("worn"), note.alias("note")).alias("fields")).alias("mapValue")).alias("use"),
+        tagged(arrayValue=(i % 5 != 0, F.struct(entries.alias("values"))), stringValue=(i % 5 == 0, F.lit("3, 4"))).alias("sizes"),
+        tagged(stringValue=(i % 7 != 0, F.col("title")), mapValue=(i % 7 == 0, F.struct(F.lit(1).alias("fields")))).alias("label"),
+        F.when(i % 4 == 0, tagged(stringValue=(None, F.col("brand")))).alias("brand"),
+    )
+    raw = t.v_items.filter("times_worn IS NOT NULL").select(
+        F.to_json(F.struct(F.concat(F.lit("d/"), i.cast("string")).alias("name"), fields.alias("fields"))).alias("value"))
+    wanted = StructType.fromDDL("use struct<worn int>, sizes array<int>, label string")
+    rows = decode_documents(raw, wanted, rejects="unread", rescue="rest")
+    sizes = F.array_join(F.transform("sizes", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), "|")
+    return rows.select(
+        "id", F.col("use.worn").cast("string").alias("worn"), sizes.alias("sizes"), "label", F.array_join("unread", ",").alias("unread"),
+        F.coalesce(F.to_json("rest"), F.lit("")).alias("rest"))
+
+
 @query("plan_inserts", "A9", """
 SELECT DISTINCT 'web_' || r.user_id || '_' || r.wear_date || '_' || r.look_id AS record_id, r.user_id, r.look_id AS outfit_id,
   r.wear_date, 'planned' AS status, 'General' AS occasion, 'web_planner' AS source, TIMESTAMP '2024-01-30 12:00:00' AS created_at
