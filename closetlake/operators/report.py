@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from closetlake.functions.values import as_date, cost_per_wear, is_true, rounded_percent
@@ -157,26 +157,21 @@ def _closet_facts(items: DataFrame, as_of) -> DataFrame:
 def _week_facts(items: DataFrame, worn: DataFrame) -> DataFrame:
     """Items worn, the most repeated one and the useful colors of each user in one pass.
 
-    Grouping sets give a row per user and one per color; of each kind the first
-    few per user are kept, so a user's list holds four colors at most.
+    Rows are first grouped per user and color, so what is ranked per user holds a row for each
+    color and no more; all steps after the first join keep a partitioning by user.
     """
     eligible = items.filter(report_eligible()).select(
         "user_id", "item_id", "title", F.nullif("primary_color", F.lit("")).alias("color"), F.lit(True).alias("eligible")
     )
     rows = weekly_item_wears(worn).join(eligible, ["user_id", "item_id"], "left")
-    top = F.struct(-F.col("wears"), "first_seen", "item_id", "eligible", "title")
-    sets = rows.groupingSets([["user_id"], ["user_id", "color"]], "user_id", "color").agg(
-        F.grouping("color").alias("whole"), F.count(F.lit(1)).alias("worn_items"), F.min(top).alias("top"),
+    colors = rows.groupBy("user_id", "color").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(-F.col("wears"), "first_seen", "item_id", "eligible", "title")).alias("top"),
         F.sum("wears").alias("wears"), F.min("first_seen").alias("first_seen"),
     )
-    whole = F.col("whole") == 1
-    kept = top_k(
-        sets.filter(whole | F.col("color").isNotNull()), ["user_id", "whole"],
-        [F.col("wears").desc(), F.col("first_seen")], COLOR_LIMIT,
-    )
-    facts = kept.groupBy("user_id").agg(
-        F.max(F.when(whole, F.col("worn_items"))).alias("worn_items"), F.max(F.when(whole, F.col("top"))).alias("top"),
-        F.sort_array(F.collect_list(F.when(~whole, F.struct("rank", "color")))).alias("c"),
+    best_first = Window.partitionBy("user_id").orderBy(F.col("color").isNull(), F.col("wears").desc(), "first_seen")
+    useful = F.col("color").isNotNull() & (F.col("rank") <= COLOR_LIMIT)
+    facts = colors.withColumn("rank", F.row_number().over(best_first)).groupBy("user_id").agg(
+        F.sum("n").alias("worn_items"), F.min("top").alias("top"), F.sort_array(F.collect_list(F.when(useful, F.struct("rank", "color")))).alias("c"),
     )
     shown = F.when(F.size("c") > 0, F.array_join(F.transform("c", lambda x: x["color"]), ", "))
     return facts.select(

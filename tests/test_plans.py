@@ -8,6 +8,7 @@ from closetlake.functions import taxonomy
 from closetlake.functions.taxonomy import taxonomy_values, with_taxonomy
 from closetlake.operators import purchase, report
 from closetlake.plans import dashboards, settings
+from closetlake.sources import owner_tables
 from tests.conftest import SF_DIR
 from verification.registry import AS_OF, NOW, Tables
 
@@ -73,3 +74,34 @@ def test_too_many_values_are_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(f"Denim {n}",) for n in range(5)] + [(None,)], "title string")
     assert taxonomy_values(df) is None and taxonomy_values(df.limit(2), df.limit(1)) is not None
     assert with_taxonomy(df, taxonomy_values(df)).filter("norm_category = 'Top'").count() == 6
+
+
+def test_tables_by_owner_need_no_shuffle(spark):
+    """With all tables bucketed by owner the weekly report has no exchange, and the same rows."""
+    t = Tables(settings.apply(spark), SF_DIR)
+    names = ["v_accounts", "v_items", "v_wear", "v_wear_items", "v_looks", "v_look_items"]
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "true"}
+    before = {k: spark.conf.get(k) for k in changed}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = owner_tables.co_located(spark)
+        stored = {n: owner_tables.store_by_owner(getattr(t, n), f"by_owner_{n}", 4) for n in names}
+        frame = report.weekly_report(*[stored[n] for n in names], AS_OF)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") >= 6
+        assert sorted(map(str, frame.collect())) == sorted(map(str, report.weekly_report(*[getattr(t, n) for n in names], AS_OF).collect()))
+        assert "Exchange" in report.weekly_report(*[getattr(t, n) for n in names], AS_OF)._jdf.queryExecution().executedPlan().toString()
+        again = owner_tables.store_by_owner(t.v_items.limit(5), "by_owner_v_items", 4)  # replaced, not appended
+        assert again.count() == 5 and owner_tables.stored_by_owner(own, "by_owner_v_items").count() == 5
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS by_owner_{n}")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_bucket_sizes_show_a_large_owner(spark):
+    df = spark.range(0, 900).select((F.when(F.col("id") < 300, 7).otherwise(F.col("id"))).alias("user_id"))
+    rows = owner_tables.bucket_sizes(df, 8).collect()
+    assert sum(r["rows"] for r in rows) == 900 and max(r["largest_owner"] for r in rows) == 300
+    assert owner_tables.buckets_for(1) == 1 and owner_tables.buckets_for(100 * 2**40) == 524288 and owner_tables.buckets_for(5, 3) == 4
