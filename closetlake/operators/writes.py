@@ -224,7 +224,42 @@ def reviewed_deletions(requests: DataFrame, reviews: DataFrame, now) -> DataFram
     )
 
 
+#: Deleted users that are broadcast, 8 to 40 bytes each; beyond, a filter of their hashes is, of so many 64-bit words.
+MOST_BROADCAST, FILTER_WORDS = 1_000_000, 1 << 17
+
+
+def _filter_bits(user_id) -> tuple[Column, Column]:
+    """The word of a user in the filter, and the two bits of it that the user sets."""
+    h = F.xxhash64(F.col(user_id).cast("string"))
+    one = F.lit(1).cast("bigint")
+    bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned(h, by).bitwiseAND(63).cast("int"))
+    return F.shiftrightunsigned(h, 12).bitwiseAND(FILTER_WORDS - 1).cast("int"), bit(0).bitwiseOR(bit(6))
+
+
+def user_filter(users: DataFrame) -> DataFrame:
+    """One row, ``_filter``: a Bloom filter of the users in ``FILTER_WORDS`` words (1 MB)."""
+    word, bits = _filter_bits("user_id")
+    words = users.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = users.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    held = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("held"))
+    return held.select(F.col("held.bits").alias("_filter"))
+
+
 def without_deleted_users(tables: dict[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:
-    """Every owner table without the rows of users whose deletion was approved."""
+    """Every owner table without the rows of users whose deletion was approved; rows without user stay.
+
+    The approved users are counted here. A set of bounded size is broadcast and nothing is shuffled. Of a larger one a Bloom filter
+    is: rows that it says stay, nearly all, are passed on as they are, and only the others are shuffled to meet the exact set.
+    """
     gone = requests.filter(F.col("status") == "approved").select("user_id").distinct()
-    return {name: df.join(gone, "user_id", "left_anti") for name, df in tables.items()}
+    if gone.count() <= MOST_BROADCAST:
+        return {name: df.join(F.broadcast(gone), "user_id", "left_anti") for name, df in tables.items()}
+    bits = F.broadcast(user_filter(gone))
+    word, wanted = _filter_bits("user_id")
+    maybe = F.coalesce(F.get("_filter", word).bitwiseAND(wanted) == wanted, F.lit(False))
+    out = {}
+    for name, df in tables.items():
+        tagged = df.crossJoin(bits)  # one row
+        stay, check = tagged.filter(~maybe).drop("_filter"), tagged.filter(maybe).drop("_filter")
+        out[name] = stay.unionByName(check.join(gone, "user_id", "left_anti"))
+    return out

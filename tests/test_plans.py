@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from closetlake.functions import taxonomy
 from closetlake.functions.taxonomy import taxonomy_values, with_taxonomy
-from closetlake.operators import purchase, report
+from closetlake.operators import purchase, report, writes
 from closetlake.plans import dashboards, settings
 from closetlake.sources import owner_tables
 from tests.conftest import SF_DIR
@@ -105,3 +105,18 @@ def test_bucket_sizes_show_a_large_owner(spark):
     rows = owner_tables.bucket_sizes(df, 8).collect()
     assert sum(r["rows"] for r in rows) == 900 and max(r["largest_owner"] for r in rows) == 300
     assert owner_tables.buckets_for(1) == 1 and owner_tables.buckets_for(100 * 2**40) == 524288 and owner_tables.buckets_for(5, 3) == 4
+
+
+def test_only_doubtful_rows_of_a_deletion_are_shuffled(spark, monkeypatch):
+    t = Tables(settings.apply(spark), SF_DIR)
+    few = writes.without_deleted_users({"items": t.v_items}, t.v_deletions)["items"]
+    monkeypatch.setattr(writes, "MOST_BROADCAST", 0)
+    nobody = t.v_items.limit(3).withColumn("user_id", F.lit(None).cast("bigint"))
+    many = writes.without_deleted_users({"items": t.v_items, "others": nobody}, t.v_deletions)
+    assert few.exceptAll(many["items"]).isEmpty() and many["items"].exceptAll(few).isEmpty() and 0 < few.count() < t.v_items.count()
+    assert many["others"].count() == 3
+    # A filter that knows the users lets nearly none of the others through.
+    bits = writes.user_filter(spark.range(0, 20_000).select(F.col("id").alias("user_id")))
+    word, wanted = writes._filter_bits("user_id")
+    met = spark.range(0, 100_000).select(F.col("id").alias("user_id")).crossJoin(bits).filter(F.get("_filter", word).bitwiseAND(wanted) == wanted)
+    assert met.filter("user_id < 20000").count() == 20_000 and met.count() < 21_000

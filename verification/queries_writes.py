@@ -291,18 +291,19 @@ def _(t):
     return writes.call_log_rows(t.sql(CALLS))
 
 
-OWNER_TABLES = ["v_users", "v_items", "v_looks", "v_look_items", "v_wear", "v_quest", "v_api_logs"]
+OWNER_TABLES = {
+    "v_users": "user_id", "v_items": "item_id", "v_looks": "look_id", "v_look_items": "item_id", "v_wear": "record_id", "v_quest": "submission_id", "v_api_logs": "log_id"}
 
 
 @query("deletion_cascade", "A17", " UNION ALL ".join(
-    f"SELECT '{n}' AS label, user_id, count(*) AS n FROM {{{n}}} "
-    "WHERE user_id NOT IN (SELECT user_id FROM {v_deletions} WHERE status = 'approved') GROUP BY user_id"
-    for n in OWNER_TABLES))
+    f"SELECT '{n}' AS label, user_id, CAST({key} AS VARCHAR) AS row_key FROM {{{n}}} "
+    "WHERE user_id NOT IN (SELECT user_id FROM {v_deletions} WHERE status = 'approved')"
+    for n, key in OWNER_TABLES.items()))
 def _(t):
-    """The rows each remaining owner has in each table."""
+    """The rows left in each table."""
     kept = writes.without_deleted_users({n: getattr(t, n) for n in OWNER_TABLES}, t.v_deletions)
-    owners = [df.select(F.lit(n).alias("label"), "user_id") for n, df in kept.items()]
-    return reduce(DataFrame.unionByName, owners).groupBy("label", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = [df.select(F.lit(n).alias("label"), "user_id", F.col(OWNER_TABLES[n]).cast("string").alias("row_key")) for n, df in kept.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 REVIEWS = """
