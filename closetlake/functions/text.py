@@ -102,13 +102,40 @@ def coupon_code(c) -> Column:
     return F.regexp_replace(F.upper(strip(text(c))), "[^A-Z0-9-]", "")
 
 
+def _resolved(path: Column) -> Column:
+    """A path from / without its ``.`` and ``..`` steps, which may be percent-encoded."""
+    plain = lambda s: F.regexp_replace(s, "(?i)%2e", ".")
+    steps = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+
+    def walked(done: Column, step: Column) -> Column:
+        back = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(plain(step) == "..", back).when(plain(step) == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), walked)
+    # A path that ends in such a step is a folder's.
+    end = F.when(plain(F.element_at(steps, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
 def web_url(c) -> Column:
-    """The URL when it parses and is http or https, else ''; scheme and host in lower case, an empty path as ``/``."""
-    scheme = F.lower(F.try_parse_url(col(c), F.lit("PROTOCOL")))
-    whole = r"^\s*[A-Za-z]+://([^/?#]*)(.*?)\s*$"
-    host, rest = F.lower(F.regexp_extract(col(c), whole, 1)), F.regexp_extract(col(c), whole, 2)
-    rooted = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host, rooted)).otherwise("")
+    """The URL when it parses and is http or https, else ''.
+
+    Scheme and host are put in lower case, user name and password stay as they are; the scheme's own port is left out and
+    others lose leading zeros; an empty path becomes ``/`` and ``.`` and ``..`` steps are resolved.
+    """
+    value = strip(text(c))
+    scheme = F.lower(F.try_parse_url(value, F.lit("PROTOCOL")))
+    whole = r"^[A-Za-z]+://([^/?#]*)([^?#]*)(.*)$"
+    authority, path, rest = (F.regexp_extract(value, whole, k) for k in (1, 2, 3))
+    person = F.regexp_extract(authority, "^(.*@)?([^@]*)$", 1)
+    place = F.lower(F.regexp_extract(authority, "^(.*@)?([^@]*)$", 2))
+    host, port = F.regexp_extract(place, r"^(.*?)(?::(\d*))?$", 1), F.regexp_extract(place, r"^(.*?)(?::(\d*))?$", 2)
+    number = port.try_cast("int")
+    own = F.when(scheme == "http", 80).otherwise(443)
+    shown = F.when(number.isNull() | (number == own), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+    good = scheme.isin("http", "https") & (host != "") & ((port == "") | number.between(0, 65535))
+    rooted = F.when(path == "", "/").otherwise(_resolved(path))
+    return F.when(good, F.concat(scheme, F.lit("://"), person, host, shown, rooted, rest)).otherwise("")
 
 
 def local_asset(c) -> Column:

@@ -384,3 +384,23 @@ def test_kept_counts_save_a_pass(spark):
     assert sorted(map(str, activity.feed_page(feed, 4, counts).collect())) == sorted(map(str, activity.feed_page(feed, 4).collect()))
     changed = counts.withColumn("n", F.col("n") * 2)
     assert activity.feed_page(feed, 4, changed).first()["page_count"] == 20
+
+
+@pytest.mark.parametrize("given, want", [
+    ("HTTPS://Me:Secret@EXAMPLE.com:443/A/./b/../C?Q=../x#F", "https://Me:Secret@example.com/A/C?Q=../x#F"), ("http://a.b:80", "http://a.b/"), ("http://a.b:0443/x/..", "http://a.b:443/"),
+    ("https://a.b:80/x/.", "https://a.b:80/x/"), ("http://a.b/../../c", "http://a.b/c"), ("http://a.b/%2e%2E/c/%2e", "http://a.b/c/"), ("http://a.b:99999/", ""), ("ftp://a.b/", ""), ("http:///x", ""),
+    ("  http://A.B?x  ", "http://a.b/?x"), ("http://a.b//x//", "http://a.b//x//"), (None, ""), ("http://[2001:DB8::1]:80/", "http://[2001:db8::1]/"), ("http://a.b:/", "http://a.b/"),
+])
+def test_addresses_are_normalised(spark, given, want):
+    from closetlake.functions.text import web_url
+
+    assert spark.createDataFrame([(given,)], "u string").select(web_url("u").alias("u")).first()["u"] == want
+
+
+def test_instants_of_all_forms(spark):
+    from closetlake.functions.calendar import instant
+
+    rows = [(1, None, None), (None, "1970-01-01T00:00:02Z", None), (None, None, 3500), (1, "1970-01-01T00:00:02Z", 3500), (None, "1970-01-01T00:00:02Z", 3500), (None, "soon", None), (None, None, -1)]
+    df = spark.createDataFrame(rows, "s long, iso string, ms long")
+    got = [r[0] for r in df.select(F.unix_millis(instant("s", "iso", "ms"))).collect()]
+    assert got == [1000, 2000, 3500, 1000, 3500, None, -1]

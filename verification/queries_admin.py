@@ -378,7 +378,9 @@ SELECT log_id, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS seco
   concat_ws(' · ', feature, model, nullif(provider, ''), CASE WHEN status = 'failure' THEN 'Failed request' END) AS detail
 FROM (SELECT *, epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - epoch_ms(ts) AS ms FROM {{v_api_logs}})""")
 def _(t):
-    moment = instant(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(None).cast("string"))
+    """Instants come as seconds, as milliseconds or as text, each in a third of the rows."""
+    ts, kind = F.col("ts").cast("timestamp"), F.col("log_id") % 3
+    moment = instant(F.when(kind == 0, F.unix_seconds(ts)), F.when(kind == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), F.when(kind == 1, F.unix_millis(ts)))
     return t.v_api_logs.select(
         "log_id", day("ts").alias("day"), F.unix_seconds(moment).alias("seconds"),
         age_label("ts", NOW).alias("age"), day_label("ts", NOW).alias("heading"),

@@ -592,13 +592,16 @@ def _(t):
 
 
 @query("safe_links", "H22,H24,B23", """
-SELECT page_id, CASE page_id % 4 WHEN 3 THEN '' WHEN 2 THEN '' WHEN 1 THEN url ELSE regexp_replace(url, '^https?', 'http') END AS link,
+SELECT page_id, CASE page_id % 4 WHEN 3 THEN '' WHEN 2 THEN '' WHEN 1 THEN url
+    ELSE regexp_replace(url, '^https?://([^/]*)', CASE WHEN page_id % 3 = 0 THEN 'http://Me:Pw@\\1' WHEN page_id % 3 = 1 THEN 'http://\\1/a' ELSE 'http://\\1:8080' END) END AS link,
   CASE page_id % 3 WHEN 0 THEN './assets/' || page_id || '.PNG' ELSE '' END AS asset, page_id % 5 = 0 AS admin,
   CASE WHEN page_id % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS plan FROM {pages}""")
 def _(t):
     key = F.col("page_id").cast("string")
     rows = t.pages.select(
-        "page_id", F.expr("CASE page_id % 4 WHEN 3 THEN 'javascript:x' WHEN 2 THEN 'not a url' WHEN 1 THEN url ELSE regexp_replace(url, '^https?', 'HTTP') END").alias("link"),
+        # Names kept in their case, steps to resolve, own and other ports.
+        "page_id", F.expr(r"""CASE page_id % 4 WHEN 3 THEN 'javascript:x' WHEN 2 THEN 'not a url' WHEN 1 THEN url
+          ELSE regexp_replace(url, '^https?://([^/]*)', CASE WHEN page_id % 3 = 0 THEN 'HTTP://Me:Pw@$1:80' WHEN page_id % 3 = 1 THEN 'HTTP://$1/a/x/.././b/%2E%2e' ELSE 'HTTP://$1:08080' END) END""").alias("link"),
         F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("./assets/"), key, F.lit(".PNG")))
         .otherwise(F.concat(F.lit("./assets/../"), key)).alias("asset"),
         F.expr("""CASE page_id % 5 WHEN 0 THEN '{"admin": true}' WHEN 1 THEN '{"admin": "true"}' WHEN 2 THEN '{bad'
