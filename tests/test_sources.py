@@ -125,3 +125,63 @@ def test_wire_values_are_never_lost_silently(spark):
     assert got["4"]["lost"] == [] and got["4"]["a"] is None
     assert got["5"]["lost"] == ["at"] and got["5"]["tags"] == ["d/2"] and got["5"]["rest"] == '{"A":{"stringValue":"upper"}}'
     assert sorted(str(r["lost"]) for r in rows.select("id", "lost").collect() if r["id"] is None) == ["['$']", "[]"]
+
+
+def _files(path):
+    return {f"{os.path.basename(d)}/{n}": (os.path.getmtime(f"{d}/{n}"), os.path.getsize(f"{d}/{n}")) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_updates_rewrite_only_touched_partitions(spark, tmp_path):
+    from datetime import date
+
+    from closetlake.sources import partitions
+
+    t = Tables(spark, SF_DIR)
+    wear = t.v_wear.withColumn("part", partitions.spread_by("user_id", 8))
+    path = str(tmp_path / "wear")
+    stored = partitions.store_partitioned(wear, path, "part")
+    some = wear.filter("part in (2, 5)").orderBy("record_id").limit(3)
+    asked = some.select("user_id", "record_id").unionByName(wear.select("user_id", "record_id").limit(0))
+    as_of, now = date(2030, 1, 1), NOW
+
+    def worn(rows):
+        return writes.marked_worn(rows, asked, as_of, now)
+
+    wear = wear.withColumn("worn_at", F.lit(None).cast("timestamp")) if "worn_at" not in wear.columns else wear
+    partitions.store_partitioned(wear, path, "part")
+    want = sorted(map(str, worn(wear).select(*wear.columns).collect()))
+    before = _files(path)
+    changed = partitions.update_partitions(spark, path, wear.schema, asked, ["user_id", "record_id"], worn, "part")
+    after = _files(path)
+    assert set(changed) <= {2, 5} and changed
+    untouched = {k for k in before if not any(k.startswith(f"part={p}/") for p in changed)}
+    assert {k: before[k] for k in untouched} == {k: after[k] for k in after if k in untouched} and len(untouched) < len(before)
+    assert sorted(map(str, partitions.read_partitioned(spark, path, wear.schema).collect())) == want
+    # Again: nothing differs, so no file is written.
+    assert partitions.update_partitions(spark, path, wear.schema, asked, ["user_id", "record_id"], worn, "part") == [] and _files(path) == after
+    # Removal of all rows of a partition, of some, and a request for what is not there.
+    gone = wear.filter("part = 1").select("user_id", "record_id").unionByName(some.select("user_id", "record_id"))
+    strange = gone.union(spark.createDataFrame([(-5, -5)], "user_id long, record_id long"))
+    changed = partitions.update_partitions(spark, path, wear.schema, strange, ["user_id", "record_id"], lambda rows: writes.without_plans(rows, strange), "part")
+    left = partitions.read_partitioned(spark, path, wear.schema)
+    assert 1 in changed and not os.path.exists(f"{path}/part=1") and left.count() == wear.join(gone, ["user_id", "record_id"], "left_anti").count()
+    assert stored.schema["part"].dataType.simpleString() == "int"
+
+
+def test_users_and_coupons_are_updated_in_place(spark, tmp_path):
+    from closetlake.sources import partitions
+
+    users = spark.createDataFrame([(k, False, None) for k in range(40)], "user_id long, login_blocked boolean, ai_daily_limit int").withColumn("part", partitions.spread_by("user_id", 4))
+    updates = spark.createDataFrame([(1, 3, True, "7"), (2, 3, False, " 9 "), (1, 8, True, "bad")], "seq long, user_id long, login_blocked boolean, raw_limit string")
+    path = str(tmp_path / "users")
+    partitions.store_partitioned(users, path, "part")
+    change = lambda rows: writes.secured_users(rows, updates)
+    assert len(partitions.update_partitions(spark, path, users.schema, updates, ["user_id"], change, "part")) == 1
+    got = {r["user_id"]: (r["login_blocked"], r["ai_daily_limit"]) for r in partitions.read_partitioned(spark, path, users.schema).collect()}
+    assert got == {k: (False, 9 if k == 3 else None) for k in range(40)}
+    coupons = spark.createDataFrame([("A", True, 1), ("B", None, 1), ("C", False, 2)], "code string, active boolean, month int")
+    asked = spark.createDataFrame([("A", "toggle"), ("C", "delete")], "code string, action string")
+    path = str(tmp_path / "coupons")
+    partitions.store_partitioned(coupons, path, "month")
+    assert partitions.update_partitions(spark, path, coupons.schema, asked, ["code"], lambda rows: writes.updated_coupons(rows, asked), "month") == [1, 2]
+    assert sorted(tuple(r) for r in partitions.read_partitioned(spark, path, coupons.schema).collect()) == [("A", False, 1), ("B", None, 1)]
