@@ -8,7 +8,7 @@ from closetlake.functions.calendar import age_label, day, day_label, instant
 from closetlake.functions.hashing import cache_key, character_hash, known_prompt, prompt_stamp, prompt_version, request_hash
 from closetlake.functions.hashing import PROMPT_REGISTRY
 from closetlake.functions.text import event_detail, pretty_label
-from closetlake.operators import accounts, activity, platform
+from closetlake.operators import accounts, activity, increments, platform
 from closetlake.sources.collections import owned_by
 from verification.registry import NOW, query
 
@@ -219,6 +219,38 @@ def _(t):
     return activity.events_per_day(feed(t))
 
 
+def advanced_state(t):
+    """The feed in three batches: half of it, then late events with a third of those before again, then all once more."""
+    events, part = feed(t), F.pmod(F.xxhash64("event_id"), F.lit(6))
+    state = increments.empty_state(t.spark)
+    for batch in (events.filter(part < 3), events.filter(part > 1), events):
+        state = increments.advanced(state, batch)
+    return state
+
+
+@query("activity_summary_grown", "G1,D6", f"""
+WITH {FEED} SELECT count(*) AS events,
+  count(DISTINCT user_id) FILTER (user_id IN (SELECT CAST(user_id AS VARCHAR) FROM {{v_accounts}})) AS active_users,
+  count(DISTINCT CAST(time AS DATE)) AS active_dates FROM timed""")
+def _(t):
+    return increments.summary_of(advanced_state(t), t.v_accounts)
+
+
+@query("activity_per_day_grown", "G1,D7", f"WITH {FEED} SELECT CAST(time AS DATE) AS day, count(*) AS events FROM timed GROUP BY ALL")
+def _(t):
+    return advanced_state(t).days
+
+
+@query("active_days_of_bitmaps", "D24", f"""
+WITH {FEED} SELECT user_id, count(DISTINCT CAST(time AS DATE)) AS active_days FROM timed
+WHERE time >= TIMESTAMP '1998-01-10 00:00:00' AND time < TIMESTAMP '1998-12-21 00:00:00' GROUP BY user_id""")
+def _(t):
+    """Bitmaps of two overlapping halves of the feed."""
+    days = feed(t).select("user_id", F.to_date("time").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part"))
+    parts = [increments.month_bitmaps(days.filter(f"part {x}")) for x in ("> 0", "< 2")]
+    return increments.active_days(increments.merged_bitmaps(*parts), date(1998, 1, 10), date(1998, 12, 20))
+
+
 @query("activity_page", "E4,E5,F12", f"""
 WITH {FEED}, ranked AS (
   SELECT *, CAST(time AS DATE) AS day, row_number() OVER (ORDER BY time DESC, event_id) AS row_no, count(*) OVER () AS n FROM timed),

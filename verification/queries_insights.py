@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from closetlake.functions.calendar import leading_blanks, shift_month
 from closetlake.functions.values import cost_per_wear, points
-from closetlake.operators import insights, quests
+from closetlake.operators import increments, insights, quests
 from verification.registry import AS_OF, query
 
 D = "DATE '1998-06-30'"
@@ -170,6 +170,14 @@ def _(t):
     return quests.streaks(t.v_quest, date(2024, 1, 30))
 
 
+@query("quest_streaks_of_bitmaps", "E1,D22", f"WITH {ISLANDS} SELECT user_id, streak, longest_streak FROM streaks")
+def _(t):
+    """Bitmaps of overlapping parts of the quests, merged in another order than they came."""
+    days = t.v_quest.select("user_id", F.col("challenge_date").alias("day"), F.expr("submission_id % 4").alias("part"))
+    parts = [increments.month_bitmaps(days.filter(f"part {x}")) for x in ("= 3", "< 2", "> 0")]
+    return increments.streaks_of(increments.merged_bitmaps(*parts), date(2024, 1, 30))
+
+
 @query("quest_summary", "D22", f"WITH {ISLANDS}, {SUMMARY} SELECT * FROM summary")
 def _(t):
     return quests.quest_summary(t.v_users, t.v_quest, date(2024, 1, 30))
