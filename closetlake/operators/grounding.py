@@ -190,6 +190,32 @@ def sanitized_results(parsed: DataFrame, examples: DataFrame) -> DataFrame:
     )
 
 
+def checked_results(parsed: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``sanitized_results`` of the grounded examples, in one pass over the parsed results.
+
+    The different ids that a result names, no more than its own document holds, are looked up in one
+    join and come back as one list, against which its examples are read. ``items`` are the garments the model was shown.
+    """
+    keys = ["user_id", "result_id"]
+    examples = F.coalesce(F.transform("r.outfitExamples", lambda x: x["itemIds"]), F.array().cast("array<array<string>>"))
+    reasons = F.slice(F.filter(F.transform("r.reasons", lambda x: clean(x, 180)), lambda x: x != ""), 1, REASON_LIMIT)
+    whole = F.struct(
+        F.coalesce(whitelisted("r.verdict", VERDICTS, "consider")).alias("verdict"), clean("r.summary", 260).alias("summary"),
+        F.coalesce(reasons, F.array().cast("array<string>")).alias("reasons"), examples.alias("examples"))
+    named = F.array_distinct(F.flatten(F.filter(examples, lambda x: x.isNotNull())))
+    rows = parsed.filter("parsed").select(*keys, whole.alias("whole"), F.posexplode_outer(named).alias("pos", "item_id"))
+    # The result itself goes with its first id only.
+    rows = rows.withColumn("whole", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")))
+    known = items.select("user_id", F.col("item_id").cast("string").alias("item_id"), F.lit(True).alias("known"))
+    found = rows.join(known, ["user_id", "item_id"], "left").groupBy(*keys).agg(
+        F.first("whole", ignorenulls=True).alias("whole"), F.collect_set(F.when(F.col("known"), F.col("item_id"))).alias("ids"))
+    pieces = F.transform("whole.examples", lambda x: F.array_distinct(F.filter(x, lambda i: F.array_contains("ids", i))))
+    kept = F.slice(F.filter(pieces, lambda x: F.size(x) >= 2), 1, EXAMPLE_LIMIT)
+    return found.withColumn("kept", kept).select(
+        *keys, "whole.verdict", "whole.summary", "whole.reasons", F.size("kept").cast("bigint").alias("possible_outfits"),
+        F.size(F.array_distinct(F.flatten("kept"))).cast("bigint").alias("compatible_pieces"))
+
+
 def outfit_check(look_items: DataFrame, items: DataFrame) -> DataFrame:
     """Whether each look is wearable: ``items`` holds ``slot`` and ``requires_base_layer``.
 

@@ -448,3 +448,20 @@ def test_late_and_repeated_events_change_nothing_twice(spark):
     assert increments.summary_of(state, users).first() == whole and state.ledger.count() == 4
     plan = increments.summary_of(state, users)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_results_in_one_pass_equal_those_of_examples(spark):
+    import json
+
+    rows = []
+    for k in range(40):
+        examples = [{"itemIds": [f"i{(k + n * m) % 23}" for n in range(m % 5)] + ["no", None][: k % 3], "explanation": "x"} for m in range(k)]
+        body = {"verdict": ["strong_buy", "odd", None][k % 3], "summary": "<s>" * k, "reasons": ["a", "", "b"] * k, "outfitExamples": examples if k % 7 else None}
+        rows.append((f"u{k % 2}", f"r{k}", json.dumps(body) if k % 9 else "not json"))
+    df = spark.createDataFrame(rows, "user_id string, result_id string, raw string")
+    items = spark.createDataFrame([(u, f"i{n}") for u in ("u0", "u1") for n in range(12)], "user_id string, item_id string")
+    parsed = grounding.parsed_results(df)
+    one = grounding.checked_results(parsed, items)
+    two = grounding.sanitized_results(parsed, grounding.grounded_examples(parsed, items))
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
