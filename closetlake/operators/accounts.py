@@ -56,10 +56,14 @@ def effective_limit(user_limit, global_limit) -> Column:
     return F.coalesce(F.col(user_limit), F.greatest(F.lit(0), shared)).cast("bigint")
 
 
+def search_haystack() -> Column:
+    """Name, e-mail and id as one text; what an index of users is built on."""
+    return F.concat_ws(" ", display_name("Unnamed user"), text("email"), F.col("user_id").cast("string"))
+
+
 def name_search(query: str) -> Column:
     """Case-insensitive text search over name, e-mail and id."""
-    hay = F.lower(F.concat_ws(" ", display_name("Unnamed user"), text("email"), F.col("user_id").cast("string")))
-    return F.contains(hay, F.lower(strip(F.lit(query))))
+    return F.contains(F.lower(search_haystack()), F.lower(strip(F.lit(query))))
 
 
 def _instants(df: DataFrame, names: list[str]) -> DataFrame:

@@ -185,3 +185,42 @@ def test_users_and_coupons_are_updated_in_place(spark, tmp_path):
     partitions.store_partitioned(coupons, path, "month")
     assert partitions.update_partitions(spark, path, coupons.schema, asked, ["code"], lambda rows: writes.updated_coupons(rows, asked), "month") == [1, 2]
     assert sorted(tuple(r) for r in partitions.read_partitioned(spark, path, coupons.schema).collect()) == [("A", False, 1), ("B", None, 1)]
+
+
+def test_stored_text_index(spark, tmp_path):
+    import random
+
+    from closetlake.sources import text_index
+
+    rng = random.Random(4)
+    texts = [(k, None if k % 40 == 0 else "".join(rng.choice("ab É") for _ in range(rng.randint(0, 60)))) for k in range(400)] + [(900, "needle\nin the Hay 😀 x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    path = str(tmp_path / "index")
+    text_index.append_to_index(df.filter("doc_id < 200"), path, "doc_id", "text", 200)
+    text_index.append_to_index(df.filter("doc_id >= 200"), path, "doc_id", "text", 200)
+    index, stored = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/texts")
+    for query in ("abab", " BÉA ", "é", "", "e\nin", "y 😀 x", "zzz", "aé bé"):
+        wanted = query.strip().lower()
+        got = sorted(r["doc_id"] for r in text_index.search(stored, index, "doc_id", "text", query).collect())
+        assert got == sorted(k for k, x in texts if x is not None and wanted in x.lower()), query
+    # Only the partitions of the trigrams and of the candidates are read.
+    keys = text_index.candidates(index, "needle")
+    assert [r["key"] for r in keys.collect()] == [900]
+    plan = text_index.of_candidates(stored, keys, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters: ")[1].split("PushedFilters")[0] for line in plan.splitlines() if "PartitionFilters" in line]
+    assert len(filters) == 2 and "part#" in filters[0] and "bucket#" in filters[1] and "In(gram" in plan
+    # A text that is appended again with new content is found by it; the old one stays a row of the store.
+    text_index.append_to_index(spark.createDataFrame([(901, "a new needle")], df.schema), path, "doc_id", "text", 200)
+    index, stored = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/texts")
+    assert sorted(r["doc_id"] for r in text_index.search(stored, index, "doc_id", "text", "NEEDLE").collect()) == [900, 901]
+
+
+def test_lists_of_frequent_trigrams_are_cut(spark, monkeypatch):
+    from closetlake.sources import text_index
+
+    monkeypatch.setattr(text_index, "LIST_KEYS", 50)
+    df = spark.range(0, 1000).select("id", F.concat(F.lit("common "), F.col("id").cast("string")).alias("text"))
+    index = text_index.postings(df, "id", "text", 1000)
+    sizes = [r["n"] for r in index.filter("gram = 'com'").collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 120
+    assert sorted(r["id"] for r in text_index.search(df, index, "id", "text", "common 77").collect()) == [77, *range(770, 780)]

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from closetlake.functions.search import SYNONYM_GROUPS, with_search_text
+from closetlake.functions.search import SYNONYM_GROUPS, matches, query_words, with_search_text
 from closetlake.functions.taxonomy import CATEGORY_PATTERNS, SLOT_PATTERNS, taxonomy_values, with_taxonomy
 from closetlake.operators import garments, purchase
 from closetlake.operators.report import report_eligible
+from closetlake.sources import text_index
 from verification.registry import query
 
 
@@ -273,3 +274,14 @@ FROM (SELECT c.user_id, c.candidate_id, c.price, coalesce(s.n, 0) AS similar_ite
         USING (user_id, candidate_id))""")
 def _(t):
     return purchase.purchase_check(t.v_candidates, t.v_items)
+
+
+@query("garment_search_of_index", "H6,B1", f"""
+WITH {SEARCH} SELECT user_id, item_id FROM found WHERE {has_sql(['tee', 'red'])}""")
+def _(t):
+    """Candidates of both words and their synonyms, then the search itself."""
+    tagged = with_search_text(t.v_garments).withColumn("entry", F.concat_ws("/", "user_id", "item_id"))
+    index = text_index.postings(tagged, "entry", "search_text", t.v_garments.count())
+    wanted = " Tee  RED"
+    keys = text_index.candidates_of_all(index, query_words(wanted))
+    return text_index.of_candidates(tagged, keys, "entry").filter(matches("search_text", wanted)).select("user_id", "item_id")

@@ -13,7 +13,9 @@ from closetlake.operators import accounts, campaigns, grounding, looks, page_che
 from closetlake.operators.garments import purchase_usable
 from closetlake.schemas import schema
 from closetlake.sources.collections import read_collection
+from closetlake.sources import text_index
 from closetlake.sources.wire import decode_documents
+from verification.queries_admin import NAME
 from verification.queries_garments import category_sql, slot_sql
 from verification.registry import AS_OF, NOW, query
 from verification.views import TABLES
@@ -710,3 +712,22 @@ SELECT user_id, look_id, NOT hero AND NOT bottom AS missing_bottom, base AND NOT
 def _(t):
     items = with_taxonomy(t.v_items).withColumn("requires_base_layer", F.expr("item_id % 2 = 0"))
     return grounding.outfit_check(t.v_look_items, items)
+
+
+@query("document_search_of_index", "B22", """
+SELECT 'the an' AS query, doc_id FROM {documents} WHERE lower(text) LIKE '%the an%' UNION ALL
+SELECT 'é', doc_id FROM {documents} WHERE lower(text) LIKE '%é%'""")
+def _(t):
+    """Candidates from postings; a query too short for them."""
+    index = text_index.postings(t.documents, "doc_id", "text", t.documents.count())
+    found = [text_index.search(t.documents, index, "doc_id", "text", q).select(F.lit(q.strip().lower()).alias("query"), "doc_id") for q in (" The AN ", "É")]
+    return found[0].unionByName(found[1])
+
+
+@query("user_search_of_index", "B11", f"""
+SELECT user_id FROM {{v_accounts}} WHERE lower(concat_ws(' ', {NAME.format(d="'Unnamed user'")}, coalesce(email, ''),
+  CAST(user_id AS VARCHAR))) LIKE '%machinery1%'""")
+def _(t):
+    users = t.v_accounts.withColumn("hay", accounts.search_haystack())
+    index = text_index.postings(users, "user_id", "hay", users.count())
+    return text_index.search(users, index, "user_id", "hay", "  MACHINERY1 ").select("user_id")
