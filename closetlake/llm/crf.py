@@ -84,19 +84,31 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int
     return chain
 
 
+#: Penalty on squared weights, for a mean loss: large enough for inputs that separate the labels, too small to flatten the curve.
+RIDGE = 1e-5
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic regression, by Newton steps with a small penalty."""
+    """Weights (the last is the constant) of a logistic regression, by Newton steps that are halved until they help."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     weight = weight / weight.sum()
+    sign = np.where(y > 0, -1.0, 1.0)
+
+    def loss(w):
+        return (weight * np.logaddexp(0, sign * (x @ w))).sum() + RIDGE / 2 * (w @ w)
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + 1e-3 * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        slope = x.T @ (weight * (p - y)) + RIDGE * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
-        w -= step
+        while (after := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
         if np.abs(step).max() < 1e-8:
             break
+        w, now = w - step, min(now, after)
     return w
 
 

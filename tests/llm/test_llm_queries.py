@@ -58,6 +58,10 @@ def test_classifiers_held_out(spark, documents, name, label, mod, fold):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % mod == fold) == r["held_out"] for r in rows)
     assert np.mean([labels[r["doc_id"]] == r["predicted"] for r in held]) > 0.93
+    # Of either label most are found, not only the frequent one.
+    for value in (0, 1):
+        own = [r["predicted"] == value for r in held if labels[r["doc_id"]] == value]
+        assert len(own) > 10 and np.mean(own) > 0.9, (value, np.mean(own))
     again = {r["doc_id"]: r["score"] for r in QUERIES[name](spark, big).collect()}
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in rows)
 
