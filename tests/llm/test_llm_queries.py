@@ -52,7 +52,7 @@ def test_decontamination_finds_all_covered_items(spark, documents):
 
 @pytest.mark.parametrize("name, label, mod, fold", [("op5_quality", "quality", 4, 2), ("op6_toxicity", "toxic", 5, 0)])
 def test_classifiers_held_out(spark, documents, name, label, mod, fold):
-    big = SF_DIR.replace("0.001", "0.01")
+    big = SF_DIR.replace("0.001", "0.1")
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
     rows = QUERIES[name](spark, big).collect()
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
