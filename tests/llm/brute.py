@@ -1,6 +1,7 @@
 """Plain and slow versions of what the operators compute, for small tables."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -221,3 +222,111 @@ def vector_links(rows, cosine):
             todo += [x for x in links[todo.pop()] if not (x in seen or seen.add(x))]
         out[a] = (len(links[a]), min(seen))
     return out
+
+
+def chain_marginals(evidence, trans):
+    """Probability of label 1 at each position of one sequence, by forward and backward sums of plain weights."""
+    n = len(evidence)
+    ahead, back = [], [(1.0, 1.0)] * n
+    for k, e in enumerate(evidence):
+        own = (1.0, math.exp(max(-60.0, min(60.0, e))))
+        before = ahead[-1] if k else None
+        row = [own[j] * (sum(before[i] * math.exp(trans[i][j]) for i in (0, 1)) if k else 1.0) for j in (0, 1)]
+        ahead.append([x / sum(row) for x in row])
+    for k in range(n - 2, -1, -1):
+        own = (1.0, math.exp(max(-60.0, min(60.0, evidence[k + 1]))))
+        row = [sum(math.exp(trans[i][j]) * own[j] * back[k + 1][j] for j in (0, 1)) for i in (0, 1)]
+        back[k] = [x / sum(row) for x in row]
+    return [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back)]
+
+
+def curve(inputs, weights):
+    z = sum(x * w for x, w in zip(inputs, weights[:-1])) + weights[-1]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def toxic_text(text, model, hash_of, buckets, sequence):
+    """Score and spans of one text, token by token."""
+    tokens, start, lines = [], None, 0
+    for k, c in enumerate((text or "") + "\n"):
+        if (c.isascii() and c.isalnum()) or ord(c) >= 128:
+            start = k if start is None else start
+        else:
+            if start is not None:
+                tokens.append((lines, start, k, lower(text[start:k])))
+                start = None
+            lines += c == "\n"
+    tagged, at = [], 0
+    while at < len(tokens):
+        part = [t for t in tokens[at: at + sequence] if t[0] == tokens[at][0]]
+        own = [[int(h) % (buckets - 1) for h in hash_of(t[3])] for t in part]
+        evidence = []
+        for k, row in enumerate(own):
+            slots = [*row, own[k - 1][0] if k else buckets - 1, own[k + 1][0] if k + 1 < len(own) else buckets - 1]
+            evidence.append(model.field.bias + sum(model.field.weights[s][f] for s, f in enumerate(slots)))
+        tagged += chain_marginals(evidence, model.field.trans)
+        at += len(part)
+    expected = sum(tagged)
+    score = curve([math.log1p(expected), max(tagged, default=0.0), math.log1p(100 * expected / max(1, len(tagged)))], model.curve)
+    spans, last = [], None
+    for k, p in enumerate(tagged):
+        if p >= 0.5:
+            if last == k - 1 and spans:
+                spans[-1] = (spans[-1][0], tokens[k][2])
+            else:
+                spans.append((tokens[k][1], tokens[k][2]))
+            last = k
+    return score, spans, tagged
+
+
+def quality_text(text, model, steps):
+    """Score, lines and bad lines of one text, line by line."""
+    if not text:
+        return model.share, 0, 0
+    shares, ratios = [0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7], [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+    place = lambda x, edges: sum(e < x for e in edges)
+    rows, sizes, held, lines = [], [], set(), text.split("\n")
+    for k, line in enumerate(lines):
+        raw = line.encode("utf-8", "surrogatepass")
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+        n, size = len(words), len(raw)
+        kinds = [sum(65 <= b <= 90 for b in raw), sum(b in b"#$%&*@|<>{}[]=~^_\\/+" for b in raw), raw.count(b"!"), sum(48 <= b <= 57 for b in raw)]
+        seen = 2 if k and line == lines[k - 1] else int(line in held)
+        held.add(line)
+        rows.append([
+            min(steps - 2, int(math.log2(max(1, size)))), min(steps - 2, int(math.log2(max(1, n)))),
+            place(len(set(words)) / max(1, n), ratios) if n >= 10 else steps - 2, place(sum(a == b for a, b in zip(words, words[1:])) / max(1, n), shares),
+            *[place(x / max(1, size), shares) for x in kinds], min(steps - 2, int(size / max(1, n) / 3)), seen])
+        sizes.append(size + 1)
+    none = [steps - 1] * len(rows[0])
+    evidence = []
+    for k, row in enumerate(rows):
+        slots = row + (rows[k - 1] if k else none) + (rows[k + 1] if k + 1 < len(rows) else none)
+        evidence.append(model.field.bias + sum(model.field.weights[s][f] for s, f in enumerate(slots)))
+    good = chain_marginals(evidence, model.field.trans)
+    inputs = []
+    for x in (sum(g * s for g, s in zip(good, sizes)) / sum(sizes), min(good)):
+        x = min(max(x, 1e-4), 1 - 1e-4)
+        inputs.append(math.log(x / (1 - x)) / 4)
+    return curve(inputs, model.curve), len(lines), sum(g < 0.5 for g in good)
+
+
+def language_of(text, model, bucket_of):
+    """Predicted language and its probability, letter by letter and codeword by codeword."""
+    small = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    letters = [small(c) if c.isalpha() else 0 for c in f" {text or ''} "]
+    at = [k for k, x in enumerate(letters) if x]
+    if not at:
+        return "und", 0.0
+    margins = [0.0] * model.weights.shape[1]
+    for k in at:
+        here, left, right = letters[k], letters[k - 1], letters[k + 1]
+        two = (left << 21) | here
+        for gram in (here, two | 1 << 62, (((right << 42) & (1 << 64) - 1) ^ two) | 1 << 63):
+            row = model.weights[bucket_of(gram)]
+            margins = [m + float(w) for m, w in zip(margins, row)]
+    margins = [m / (3 * len(at)) + float(b) for m, b in zip(margins, model.bias)]
+    loss = [len(code) * sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(trust, margins, code)) for trust, code in zip(model.trust, model.codes)]
+    near = [math.exp(-x) for x in loss]
+    best = max(range(len(near)), key=near.__getitem__)
+    return model.languages[best], near[best] / sum(near)
