@@ -78,18 +78,21 @@ def test_license_scan(spark, documents):
 def test_fingerprints(spark, documents, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_CHARS", 40_000)  # several buckets
     rows = {r["doc_id"]: r for r in QUERIES["op8_fingerprints"](spark, SF_DIR).collect()}
-    ordered = sorted(documents, key=lambda d: -d["doc_id"])
+    ordered, errors = sorted(documents, key=lambda d: -d["doc_id"]), []
     for k, d in enumerate(ordered):
         text, after = d["text"], ordered[(k + 1) % len(ordered)]["text"]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         r = rows[d["doc_id"]]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        if k % 20 == 0:
-            assert r["fingerprint"] == brute.fingerprint(text) and r["edited_fingerprint"] == brute.fingerprint(edited)
-            a, b = (set(brute.shingles(t, 5)) for t in (text, edited))
-            if len(a) > 60:
-                assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.2
+        assert r["fingerprint"] == brute.fingerprint(text) and r["edited_fingerprint"] == brute.fingerprint(edited)
+        own = set(brute.shingles(text, 5, False))
+        for near, other in ((r["near_edited"], edited), (r["near_next"], after)):
+            b = set(brute.shingles(other, 5, False))
+            assert 0 <= near <= 1 and (text != other or near == 1 or not own)
+            if min(len(own), len(b)) > 60:
+                errors.append(near - len(own & b) / len(own | b))
+    assert len(errors) > 200 and max(map(abs, errors)) < 0.25 and np.std(errors) < 0.06
 
 
 def test_sharding(spark, documents):
