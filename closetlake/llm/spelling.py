@@ -10,7 +10,8 @@ small box around its vector, among words of its length or one letter more.
    all words are dealt to its leaves. A leaf that still holds too many is dealt out
    by hash.
 3. As a query each word visits the leaves whose box lies within the distance, in the tree of
-   its own length and in that of one letter more. Within a leaf a
+   its own length and in that of one letter more; of two leaves of one length only the words of the first
+   visit the second, as both words of a pair get it. Within a leaf a
    finer tree is searched in the same way; squared distances of count vectors leave few pairs,
    whose letter order is compared.
 4. A leaf returns counts and the best near word per word, not pairs.
@@ -33,11 +34,13 @@ LEAST, TIMES, FEWEST = 7, 10, 2
 #: Words the trees are fitted on.
 SAMPLE = 100_000
 #: Words of a leaf that one task holds, and their letters at most.
-LEAF, LEAF_LETTERS = 20_000, 4_000_000
+LEAF, LEAF_LETTERS = 40_000, 4_000_000
 #: Words in a bucket of the finer tree.
-BUCKET = 160
+BUCKET = 256
 #: Queries searched at a time.
 CHUNK = 20_000
+#: Kinds of rows in a leaf: its words, these as queries, and queries that live in another leaf.
+HELD, AT_HOME, FROM_ELSEWHERE = 0, 1, 2
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -174,6 +177,7 @@ class _Leaf:
         self.vectors = vectors[:, self.used].astype(self.kind)
         self.squares = (self.vectors**2).sum(axis=1)
         self.tree, self.rows = Tree.fit(vectors, bucket=BUCKET)
+        self.twice = [-2 * self.vectors[r].T for r in self.rows]
         self.low = [vectors[r].min(axis=0)[self.used] for r in self.rows]
         self.high = [vectors[r].max(axis=0)[self.used] for r in self.rows]
 
@@ -197,8 +201,10 @@ class _Leaf:
             if not len(at):
                 continue
             rows = self.rows[leaf]
-            apart = (base[at] + extra[at])[:, None] + self.squares[rows][None, :] - 2 * (whole[at] @ self.vectors[rows].T)
-            q, p = np.nonzero(np.abs(apart - square) < 0.5)
+            apart = whole[at] @ self.twice[leaf]
+            apart += self.squares[rows]
+            apart += (base[at] + extra[at])[:, None]
+            q, p = np.nonzero(apart == square)  # all are whole numbers
             q, p = at[q], rows[p]
             ok = one_edit(other[q], self.letters[p])
             yield q[ok], p[ok]
@@ -219,14 +225,14 @@ def _ranks(found: list[str], n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _searched(leaf: _Leaf, found: list[str], n: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Counts and best near words of queries of one length, and of the leaf's words where these are longer."""
+def _searched(leaf: _Leaf, found: list[str], n: np.ndarray, both: bool) -> Iterator[pd.DataFrame]:
+    """Counts and best near words of queries of one length, and of the leaf's words for queries from elsewhere (``both``)."""
     pairs = list(leaf.pairs(letters(found)))
     if not pairs or not sum(len(q) for q, _ in pairs):
         return
     q, p = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
     sides = [(q, p, found, leaf.words, leaf.n)]
-    if len(found[0]) < len(leaf.words[0]):
+    if both:
         sides.append((p, q, leaf.words, found, n))
     for who, whom, names, others, times in sides:
         rank = _ranks(others, times)
@@ -250,16 +256,16 @@ def _in_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             leaf, own = _Leaf(list(words_["word"]), words_["n"].to_numpy(np.int64)), []
         if waiting and leaf is not None:
             rows = pd.concat(waiting, ignore_index=True)
-            for _, some in rows.groupby("length", sort=True):
-                yield from _searched(leaf, list(some["word"]), some["n"].to_numpy(np.int64))
+            for (_, kind), some in rows.groupby(["length", "kind"], sort=True):
+                yield from _searched(leaf, list(some["word"]), some["n"].to_numpy(np.int64), kind == FROM_ELSEWHERE)
         waiting, size = [], 0
 
     for batch in batches:
-        for (of, salt, query), rows in batch.groupby(["leaf", "salt", "query"], sort=True):
+        for (of, salt, kind), rows in batch.groupby(["leaf", "salt", "kind"], sort=True):
             if (of, salt) != key:
                 yield from search()
                 key, own, leaf = (of, salt), [], None
-            if not query:
+            if kind == HELD:
                 own.append(rows)
                 continue
             waiting.append(rows)
@@ -305,14 +311,17 @@ def _dealt(trees: dict[int, Tree], shares: dict[tuple[int, int], int] | None):
                     continue
                 parts = np.array([shares.get(x, 1) for x in names])
                 salt = np.array([zlib.crc32(w.encode()) for w in found]) % parts[home]
-                yield pd.DataFrame({"leaf": names[home], "salt": salt.astype("int32"), "query": False, "length": np.int32(length), "word": found, "n": n})
+                yield pd.DataFrame({"leaf": names[home], "salt": salt.astype("int32"), "kind": np.int32(HELD), "length": np.int32(length), "word": found, "n": n})
                 for other, radius in ((length, 2), (length + 1, 1)):
                     if other not in trees:
                         continue
                     for leaf, at in trees[other].visits(vectors, radius):
+                        if other == length:
+                            at = at[home[at] <= leaf]
+                        kind = np.where((home[at] == leaf) & (other == length), AT_HOME, FROM_ELSEWHERE).astype("int32")
                         name = f"{other}/{leaf}"
                         for k in range(shares.get(name, 1)):
-                            yield pd.DataFrame({"leaf": name, "salt": np.int32(k), "query": True, "length": np.int32(length), "word": found[at], "n": n[at]})
+                            yield pd.DataFrame({"leaf": name, "salt": np.int32(k), "kind": kind, "length": np.int32(length), "word": found[at], "n": n[at]})
 
     return run
 
@@ -328,8 +337,8 @@ def near(vocabulary: DataFrame) -> DataFrame:
     shares = {}
     for name, many in homes.filter(F.col("count") > LEAF).collect():
         shares[name] = -(-many // max(1, min(LEAF, LEAF_LETTERS // int(name.split("/")[0]))))
-    rows = vocabulary.select("word", "n", "length").mapInPandas(_dealt(trees, shares), "leaf string, salt int, query boolean, length int, word string, n long")
-    met = rows.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "query").mapInPandas(_in_leaves, "word string, n_near long, best string, best_n long")
+    rows = vocabulary.select("word", "n", "length").mapInPandas(_dealt(trees, shares), "leaf string, salt int, kind int, length int, word string, n long")
+    met = rows.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind").mapInPandas(_in_leaves, "word string, n_near long, best string, best_n long")
     top = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     return met.groupBy("word").agg(F.sum("n_near").alias("n_near"), top.alias("top")).select(
         "word", "n_near", F.col("top.word").alias("best"), (-F.col("top.n")).alias("best_n"))
