@@ -21,8 +21,9 @@ lose no pair.
    common label. Only sets of a key that still have different labels are
    paired with each other, if their sizes and numbers of shareable tokens allow it.
 
-Tokens are grouped by sorting within a partition and reading it as a stream, so a
-token that very many sets share needs no memory. Equal sets are sent once per task.
+Tokens are grouped by sorting within a partition and reading it as a stream. Tokens that very many sets share are
+found on a bounded sample of sets first; more than ``RARE`` sets of the sample have them, so they are known
+to be frequent, and their rows are dealt out by set instead of being brought together. Equal sets are sent once per task.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ EARLY = 6
 SLICE = 400_000
 #: Rows a task builds before it passes them on.
 CHUNK = 200_000
+#: Texts on which the most frequent tokens are looked for, and so many of these tokens at most; both only decide what is sent where.
+HOT_SAMPLE, MOST_HOT = 20_000, 100_000
+#: Parts that the rows of such a token are dealt into.
+SHARES = 1024
 #: Sets remembered by a task to send equal ones once.
 REMEMBERED = 100_000
 
@@ -151,7 +156,11 @@ def _distinct_runs(batches, columns: list[str]):
 def _shared_only(batches, columns: list[str]):
     """Of a partition sorted by token, the rows whose token another set has too."""
     held, held_shared = None, False
-    for rows in _distinct_runs(batches, columns):
+    for rows in _distinct_runs(batches, [*columns, "hot"]):
+        hot = rows.pop("hot")
+        if hot.any():  # another set has them, wherever it is
+            yield pd.DataFrame({c: v[hot] for c, v in rows.items() if c != "token"})
+            rows = {c: v[~hot] for c, v in rows.items()}
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in columns}
         t = rows["token"]
@@ -176,7 +185,11 @@ def _classes(batches, columns: list[str], rare: int):
     def out(rows, df):
         return pd.DataFrame(rows | {"df": np.minimum(df, rare + 1)})
 
-    for rows in _distinct_runs(batches, columns):
+    for rows in _distinct_runs(batches, [*columns, "hot"]):
+        hot = rows.pop("hot")
+        if hot.any():
+            yield out({c: v[hot] for c, v in rows.items()}, np.full(int(hot.sum()), rare + 1))
+            rows = {c: v[~hot] for c, v in rows.items()}
         t = rows["token"]
         if not len(t):
             continue
@@ -206,9 +219,30 @@ def _classes(batches, columns: list[str], rare: int):
         yield out(held, np.full(len(held["token"]), len(held["token"])))
 
 
+def hot_tokens(docs: DataFrame, size: int) -> DataFrame:
+    """``token``: tokens that more than ``RARE`` sets of a sample have, the most frequent ones, stored."""
+    many = max(1, docs.count())
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    some = docs.filter(F.col("text").isNotNull() & (place * many < HOT_SAMPLE)).select("text").distinct()
+
+    def send(batches):
+        yield from _chunks(((s, (set_hash(s),)) for batch in batches for s in _sets(list(batch["text"]), size) if len(s)), ["node"])
+
+    counted = some.mapInPandas(send, "token long, node long").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    return stored(counted.filter(F.col("sets") > RARE).orderBy(F.desc("sets"), "token").limit(MOST_HOT).select("token"))
+
+
+def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``hot`` (a frequent token of the sample), brought together by token, but hot ones by set as well; sorted by token and set."""
+    marked = rows.join(hot.withColumn("hot", F.lit(True)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    share = F.when(F.col("hot"), F.pmod(F.col("node"), F.lit(SHARES))).otherwise(0)
+    return marked.repartition("token", share).sortWithinPartitions("token", "node")
+
+
 def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
     """``node``, ``n``, ``n_rare``, ``tokens`` (the shared ones, rare first) of each set that may have a partner."""
-    first = _short_lists(docs, size, times, of).repartition("token").sortWithinPartitions("token", "node")
+    hot = F.broadcast(hot_tokens(docs, size))  # MOST_HOT rows at most
+    first = _spread(_short_lists(docs, size, times, of), hot)
     shared = first.mapInPandas(partial(_shared_only, columns=["token", "node", "least"]), "node long, least int")
     some = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter(F.col("n") >= F.col("least"))
     some = stored(some.select("node"))
@@ -224,7 +258,7 @@ def linkable(docs: DataFrame, size: int, times: int, of: int) -> DataFrame:
     # One Python step here, so that a task keeps one Python worker; its sets are only kept where they may link.
     named = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(send, "node long, n int, tokens array<long>")
     tokens = named.join(sized_broadcast(some), "node").select(F.explode("tokens").alias("token"), "node", "n")
-    counted = tokens.repartition("token").sortWithinPartitions("token", "node").mapInPandas(
+    counted = _spread(tokens, hot).mapInPandas(
         partial(_classes, columns=["token", "node", "n"], rare=RARE), "token long, node long, n int, df int")
     sets = counted.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
     sets = sets.filter(F.size("found") * of >= F.col("n") * times)

@@ -260,6 +260,26 @@ def test_jaccard_group_of_near_copies(spark, size, times, words, monkeypatch):
     assert got == brute.connected({i: set(brute.shingles(" ".join(t), size)) for i, t in enumerate(texts)}, times, 100)
 
 
+def test_a_token_of_all_sets_is_dealt_out(spark, monkeypatch):
+    """One passage in every text: its tokens are known to be frequent, their rows spread evenly, and components are the same."""
+    rng = random.Random(11)
+    passage = " ".join(f"common{k}" for k in range(12))
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 300)) for _ in range(rng.randint(5, 40))) + " " + passage for _ in range(400)]
+    texts += [t + " end" for t in texts[:60]] + texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot = jaccard_join.hot_tokens(prepare(spark).createDataFrame(docs.collect(), docs.schema), 3)
+    assert hot.count() == 11  # the shingles within the passage, and the one at its end in some texts
+    frame = spark.createDataFrame([(hot.first()["token"], k, 1) for k in range(2000)] + [(k, k, 1) for k in range(50)], "token long, node long, least int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = jaccard_join._spread(frame, hot).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in spread) == 2050 and max(r["count"] for r in spread) < 800
+    want = brute.connected({i: set(brute.shingles(t, 3)) for i, t in enumerate(texts)}, 80, 100)
+    for most in (100_000, 3, 0):
+        monkeypatch.setattr(jaccard_join, "MOST_HOT", most)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard_join.groups(docs, 3, 80, 100).collect()} == want
+
+
 def test_url_filter(spark):
     pages = [
         (1, "HTTP://A.Example.NET/en/x?q", "allow", "example.net/en/"), (2, "http://x.net", "allow", None), (3, "http://x.net/", "block", "net/"),
